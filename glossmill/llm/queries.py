@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
 from .simhash_dedup import near_duplicates
+from .token_counts import count_tokens
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -20,6 +21,17 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, radius=3)
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document as byte_bpe_50k.json counts them, against a limit of 1024."""
+    return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in 5 or more documents stay in the last one only."""
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -28,5 +40,6 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op6_token_counts": op6_token_counts,
     "op9_line_dedup": op9_line_dedup,
 }
