@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
+from .pii import BASE, count_kind, find_spans, span_text
 from .simhash_dedup import near_duplicates
 from .token_counts import count_tokens
 
@@ -16,6 +17,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: counts and digest of the base kinds, and all spans."""
+    found = find_spans(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", *[count_kind("base", k).alias(f"n_{k}") for k in BASE], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles; components of fingerprints within 3 bits."""
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, radius=3)
@@ -39,6 +46,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op9_line_dedup": op9_line_dedup,
