@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .line_dedup import dedup_lines
 from .pii import BASE, count_kind, find_spans, span_text
+from .quality import judge
 from .simhash_dedup import near_duplicates
 from .token_counts import count_tokens
 
@@ -39,6 +40,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and the verdict of the log-likelihood ratio on every document."""
+    out = judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in 5 or more documents stay in the last one only."""
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -49,5 +56,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op6_token_counts": op6_token_counts,
+    "op7_quality": op7_quality,
     "op9_line_dedup": op9_line_dedup,
 }
