@@ -12,6 +12,7 @@ from .pii import BASE, count_kind, find_spans, span_text
 from .quality import judge
 from .simhash_dedup import near_duplicates
 from .token_counts import count_tokens
+from .toxicity import score_toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -46,6 +47,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every document, learned from the rows that are not held out."""
+    out = score_toxicity(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels"), threshold=0.7)
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in 5 or more documents stay in the last one only."""
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -57,5 +64,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_simhash_dedup": op3_simhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
+    "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
 }
