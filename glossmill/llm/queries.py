@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .line_dedup import dedup_lines
+from .mixing import mix
 from .pii import BASE, count_kind, find_spans, span_text
 from .quality import judge
 from .simhash_dedup import near_duplicates
@@ -25,6 +27,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[count_kind("base", k).alias(f"n_{k}") for k in BASE], F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents, one row for each pair."""
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=5, radius=16, least=0.8)
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash of 3-word shingles; components of fingerprints within 3 bits."""
     return near_duplicates(read(spark, sf_dir, "documents"), words=3, radius=3)
@@ -53,6 +60,29 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+#: Target weights by path; nodes that are not named weigh 1.
+MIX_WEIGHTS = {
+    ("web",): 5.0,
+    ("books",): 3.0,
+    ("reference",): 2.0,
+    **{(d, lang): w for d in ("web", "books", "reference") for lang, w in (("en", 6.0), ("fr", 2.0), ("de", 2.0), ("es", 1.0))},
+}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.5, 4.0, 11
+
+
+def with_domain(docs: DataFrame) -> DataFrame:
+    """The domain of a document, by its source's number: src0 to src9 web, to src14 books, to src19 reference; others: none."""
+    number = F.regexp_extract(F.col("source").cast("string"), "^src([0-9]{1,4})$", 1)
+    number = F.when(number != "", number).cast("int")
+    return docs.withColumn("domain", F.when(number < 10, "web").when(number < 15, "books").when(number < 20, "reference").otherwise("other"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of all tokens, dealt to domains, languages and sources by their weights."""
+    docs = with_domain(read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mix(docs, MIX_SHARE, MIX_WEIGHTS, MIX_EPOCHS, MIX_SEED)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of 40 characters or more in 5 or more documents stay in the last one only."""
     out = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"), min_chars=40, min_docs=5)
@@ -61,9 +91,11 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_decontaminate": op2_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
     "op9_line_dedup": op9_line_dedup,
+    "op10_mixing": op10_mixing,
 }
