@@ -15,6 +15,7 @@ from .quality import judge
 from .simhash_dedup import near_duplicates
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
+from .url_rules import ALLOW, BLOCK, filter_urls
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,6 +44,17 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Fixed rules of the query: verdict and rule.
+URL_RULES = [(ALLOW, "com/"), (BLOCK, "example.com/en/"), (ALLOW, "www.example.com/en/"), (BLOCK, "net/es/"), (BLOCK, "net/fr/")]
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every url; labels of low quality or toxicity, by page_id, are what is mined."""
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return filter_urls(read(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document as byte_bpe_50k.json counts them, against a limit of 1024."""
     return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path(), limit=1024)
@@ -93,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op5_url_rules": op5_url_rules,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
     "op8_toxicity": op8_toxicity,
