@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .line_dedup import dedup_lines
+from .lm_scoring import score_documents
 from .mixing import mix
 from .pii import BASE, count_kind, find_spans, span_text
 from .quality import judge
@@ -44,6 +45,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stupid-backoff scores of every document under the trigrams of all others."""
+    return score_documents(read(spark, sf_dir, "documents"), order=3, alpha=0.4)
+
+
 #: Fixed rules of the query: verdict and rule.
 URL_RULES = [(ALLOW, "com/"), (BLOCK, "example.com/en/"), (ALLOW, "www.example.com/en/"), (BLOCK, "net/es/"), (BLOCK, "net/fr/")]
 
@@ -105,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_decontaminate": op2_decontaminate,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_lm_scoring": op4_lm_scoring,
     "op5_url_rules": op5_url_rules,
     "op6_token_counts": op6_token_counts,
     "op7_quality": op7_quality,
