@@ -230,3 +230,60 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, shared: in
     out = prints.join(named, "fp", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
+
+
+def sketch_links(prints: DataFrame, radius: int, keys: int, most: int) -> DataFrame:
+    """Links within ``radius`` between nodes (node, fp, least) that share one of their ``keys`` smallest shingle hashes.
+
+    For radii at which shards by blocks of bits would hold nearly everything: two texts of
+    shingle similarity J agree in the smallest hash of their union with probability J, and miss each
+    other in all of ``keys`` with about (1 - J) ** keys.
+    """
+    members = prints.select(F.explode(F.slice("least", 1, keys)).alias("key"), "node", "fp")
+    none = prints.where(F.size("least") == 0).select(F.lit(0).cast("long").alias("key"), "node", "fp")
+    return tree_links(members.unionByName(none), radius, most)
+
+
+def _similar_rows(words: int, least: float):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, a, b = (c.to_pylist() for c in batch.columns)
+            good = []
+            cache: dict[int, np.ndarray] = {}
+            for x, y, s, t in zip(u, v, a, b):
+                own = []
+                for node, text in ((x, s), (y, t)):
+                    if node not in cache:
+                        if len(cache) > 64:
+                            cache.clear()
+                        cache[node] = np.unique(shingle_hashes((text or "").encode(), words))
+                    own.append(cache[node])
+                both = len(np.intersect1d(*own, assume_unique=True))
+                whole = len(own[0]) + len(own[1]) - both
+                good.append(whole == 0 or both >= least * whole)
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(u, good) if g], pa.int64()), pa.array([y for y, g in zip(v, good) if g], pa.int64())], ["u", "v"])
+
+    return rows
+
+
+def similar_groups(docs: DataFrame, words: int = 5, radius: int = 16, least: float = 0.8, keys: int = 8, most: int = 1000) -> DataFrame:
+    """doc_id and component_id of near-duplicate texts by shingle similarity, one row for each row of ``docs``.
+
+    Texts with the same fingerprint and the same sketch are one node.  Candidates come from BK-trees
+    with a wide radius; what the trees link (the tightest links of a spanning forest) is verified by the
+    exact Jaccard similarity of the distinct shingles, at least ``least``.  Nulls, empty texts, repeated rows and empty
+    tables: as in :func:`near_duplicates`.
+    """
+    prints = materialize(fingerprints(docs, words, sketch=max(keys, 16)).withColumn("same", F.xxhash64("fp", "n_shingles", F.array_join(F.col("least").cast("array<string>"), ","))), "sketches")
+    nodes = prints.where("doc_id is not null").groupBy("same").agg(F.min(F.col("doc_id").cast("long")).alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least"))
+    nodes = materialize(nodes, "nodes")
+    links = materialize(sketch_links(nodes, radius, keys, most).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    used = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(used, "id", "left_semi").dropDuplicates(["id"])
+    texts = materialize(texts, "linked")
+    pairs = links.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
+    good = pairs.select("u", "v", "a", "b").mapInArrow(_similar_rows(words, least), "u long, v long")
+    linked = components(good)
+    named = nodes.join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    out = prints.select("doc_id", "same").join(named, "same", "left")
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
