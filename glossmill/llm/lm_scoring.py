@@ -14,6 +14,7 @@ n-gram is pruned.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash_words, materialize, mix, row_slices, text_buffer
+from ._common import hash_words, mix, row_slices, scratch_path, text_buffer
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -45,6 +46,15 @@ def unpack_counts(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel().astype(np.int64)
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Places in a vocabulary by frequency: the higher bytes are mostly zero."""
+    return zlib.compress(np.ascontiguousarray(places.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
 def n_gram_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams and the place of each one's last word; none goes over the end of a text."""
     if len(words) < n:
@@ -61,7 +71,7 @@ def partition_bounds(parts: int) -> np.ndarray:
 
 
 def _block_rows(size: int):
-    """Blocks: the sorted hashes of their words, the words as places among those, and the number of words of each text."""
+    """Blocks: the hashes of their distinct words, the commonest first, the words as places among those, and the number of words of each text."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -72,9 +82,12 @@ def _block_rows(size: int):
         def emit():
             nonlocal next_id, held
             words = np.concatenate(hashes)
-            vocabulary, places = np.unique(words, return_inverse=True)
+            vocabulary, places, uses = np.unique(words, return_inverse=True, return_counts=True)
+            order = np.argsort(-uses, kind="stable")
+            rank = np.empty(len(order), np.uint32)
+            rank[order] = np.arange(len(order), dtype=np.uint32)
             docs = pa.array(ids, id_type)
-            row = [pa.array([next_id]), pa.array([pack_sorted(vocabulary)]), pa.array([zlib.compress(places.astype(np.uint32).tobytes(), 1)]), pa.array([zlib.compress(np.concatenate(counts).astype(np.int64).tobytes(), 1)]), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([len(words)])]
+            row = [pa.array([next_id]), pa.array([vocabulary[order].tobytes()], pa.binary()), pa.array([pack_places(rank[places])], pa.binary()), pa.array([zlib.compress(np.concatenate(counts).astype(np.int64).tobytes(), 1)]), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([len(words)])]
             next_id += 1
             ids.clear(), hashes.clear(), counts.clear()
             held = 0
@@ -100,7 +113,7 @@ def _block_rows(size: int):
 
 def _words_of_block(vocabulary: bytes, places: bytes, n_words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.frombuffer(zlib.decompress(n_words), np.int64)
-    words = unpack_sorted(vocabulary)[np.frombuffer(zlib.decompress(places), np.uint32)] if len(zlib.decompress(places)) else np.zeros(0, np.uint64)
+    words = np.frombuffer(vocabulary, np.uint64)[unpack_places(places)]
     return words, np.repeat(np.arange(len(counts)), counts), counts
 
 
@@ -146,26 +159,35 @@ def _total_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from totals()
 
 
-def backoff_scores(words: np.ndarray, owner: np.ndarray, counts: np.ndarray, totals: dict[int, np.ndarray], order: int, alpha: float, n_corpus: int) -> np.ndarray:
-    """Log score of each word, from the counts in all documents but its own.
+def backoff_scores(words: np.ndarray, counts: np.ndarray, totals: dict[int, np.ndarray], order: int, alpha: float, n_corpus: int, slice_words: int = 200_000) -> np.ndarray:
+    """Log score of each text of a block, from the counts in all documents but itself.
 
-    ``totals``: by order, corpus counts of the block's distinct n-grams in order of their hashes.
+    ``counts``: words of each text; ``totals``: by order, corpus counts of the block's distinct n-grams in
+    order of their hashes.  Texts are worked through in slices of about ``slice_words`` words.
     """
-    others = np.maximum(n_corpus - counts, 1)[owner] if len(words) else np.zeros(0)
-    score = np.log(alpha / others) if len(words) else np.zeros(0)
-    context = others
-    for n in range(1, order + 1):
-        grams, ends = n_gram_hashes(words, owner, n)
-        if len(grams) == 0:
-            break
-        known, at = np.unique(grams, return_inverse=True)
-        pair, own_at, own = np.unique(owner[ends] * len(known) + at, return_inverse=True, return_counts=True)
-        seen = totals[n][at] - own[own_at]
-        under = context[ends] if n == 1 else context[ends - 1]
-        score[ends] = np.where(seen > 0, np.log(np.maximum(seen, 1)) - np.log(np.maximum(under, 1)), (score[ends] + np.log(alpha)) if n > 1 else score[ends])
-        context = np.ones(len(words))
-        context[ends] = seen
-    return score
+    owner = np.repeat(np.arange(len(counts)), counts)
+    known = {n: np.unique(n_gram_hashes(words, owner, n)[0]) for n in range(1, order + 1)}
+    out = np.zeros(len(counts))
+    firsts = np.concatenate([[0], np.cumsum(counts)])
+    for a, b in row_slices(firsts, slice_words):
+        part, own = words[firsts[a] : firsts[b]], owner[firsts[a] : firsts[b]] - a
+        if len(part) == 0:
+            continue
+        others = np.maximum(n_corpus - counts[a:b], 1)[own]
+        score, context = np.log(alpha / others), others
+        for n in range(1, order + 1):
+            grams, ends = n_gram_hashes(part, own, n)
+            if len(grams) == 0:
+                break
+            at = np.searchsorted(known[n], grams)
+            _, back, own_count = np.unique(own[ends] * len(known[n]) + at, return_inverse=True, return_counts=True)
+            seen = totals[n][at] - own_count[back]
+            under = context[ends] if n == 1 else context[ends - 1]
+            score[ends] = np.where(seen > 0, np.log(np.maximum(seen, 1)) - np.log(np.maximum(under, 1)), score[ends] + (np.log(alpha) if n > 1 else 0.0))
+            context = np.ones(len(part), np.int64)
+            context[ends] = seen
+        out[a:b] = np.bincount(own, score, b - a)
+    return out
 
 
 def _score_rows(order: int, alpha: float, n_corpus: int):
@@ -173,18 +195,18 @@ def _score_rows(order: int, alpha: float, n_corpus: int):
         for batch in batches:
             id_type = batch.schema.field(3).type.value_type
             for vocabulary, places, n_words, docs, back in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                words, owner, counts = _words_of_block(vocabulary, places, n_words)
+                words, _, counts = _words_of_block(vocabulary, places, n_words)
                 totals: dict[int, list] = {n: [] for n in range(1, order + 1)}
                 for x in sorted(back or (), key=lambda x: x["part"]):
                     totals[x["n"]].append(unpack_counts(x["totals"]))
                 whole = {n: np.concatenate(t) if t else np.zeros(0, np.int64) for n, t in totals.items()}
-                sums = np.bincount(owner, backoff_scores(words, owner, counts, whole, order, alpha, n_corpus), len(counts)) if len(words) else np.zeros(len(counts))
+                sums = backoff_scores(words, counts, whole, order, alpha, n_corpus)
                 yield pa.RecordBatch.from_arrays([pa.array(docs, id_type), pa.array(counts), pa.array(sums), pa.array(sums / np.maximum(counts, 1))], ["doc_id", "n_words", "log_score", "mean_log_score"])
 
     return rows
 
 
-def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 16 << 20, rows_a_part: int = 1_000_000) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_bytes: int = 16 << 20, rows_a_part: int = 500_000) -> DataFrame:
     """doc_id, n_words, log_score and mean_log_score (a word's mean), one row for each row of ``docs``.
 
     ``docs``: doc_id, text; other columns are ignored.  Words are runs without ``[\\x20\\x09-\\x0D]``, A-Z lower-cased.  The
@@ -200,12 +222,18 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
         raise ValueError("order must be at least 1")
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     id_type = slim.schema["doc_id"].dataType.simpleString()
-    blocks = materialize(slim.mapInArrow(_block_rows(block_bytes), f"block long, vocabulary binary, places binary, n_words binary, doc_ids array<{id_type}>, n long"), "blocks")
+    spark = docs.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    laid_out = slim.mapInArrow(_block_rows(block_bytes), f"block long, vocabulary binary, places binary, n_words binary, doc_ids array<{id_type}>, n long")
+    # bucketed by block: the totals come to the blocks, which are never shuffled
+    laid_out.write.format("parquet").bucketBy(buckets, "block").option("path", scratch_path(spark, "blocks")).option("compression", "none").saveAsTable(name)
+    blocks = spark.table(name)
     n_corpus = blocks.agg(F.sum("n").alias("n")).first().n or 0
     parts = max(1, -(-n_corpus // rows_a_part))
     sent = blocks.select("block", "vocabulary", "places", "n_words").mapInArrow(_sent_rows(order, parts), "block long, n int, part int, grams binary, counts binary")
-    tasks = min(parts, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), parts // 8))
+    tasks = min(parts, max(buckets, parts // 8))
     totals = sent.repartition(tasks, "part").sortWithinPartitions("part", "n", "block").mapInArrow(_total_rows, "block long, n int, part int, totals binary")
     back = totals.groupBy("block").agg(F.collect_list(F.struct("n", "part", "totals")).alias("back"))
-    joined = blocks.join(back, "block", "left").select("vocabulary", "places", "n_words", "doc_ids", "back")
+    joined = blocks.join(back.hint("merge"), "block", "left").select("vocabulary", "places", "n_words", "doc_ids", "back")
     return joined.mapInArrow(_score_rows(order, alpha, n_corpus), f"doc_id {id_type}, n_words long, log_score double, mean_log_score double")
