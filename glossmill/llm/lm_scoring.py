@@ -179,9 +179,10 @@ def backoff_scores(words: np.ndarray, counts: np.ndarray, totals: dict[int, np.n
             grams, ends = n_gram_hashes(part, own, n)
             if len(grams) == 0:
                 break
-            at = np.searchsorted(known[n], grams)
-            _, back, own_count = np.unique(own[ends] * len(known[n]) + at, return_inverse=True, return_counts=True)
-            seen = totals[n][at] - own_count[back]
+            few, at = np.unique(grams, return_inverse=True)
+            _, back, own_count = np.unique(own[ends] * len(few) + at, return_inverse=True, return_counts=True)
+            # looked up in order: far fewer cache misses than place by place
+            seen = totals[n][np.searchsorted(known[n], few)][at] - own_count[back]
             under = context[ends] if n == 1 else context[ends - 1]
             score[ends] = np.where(seen > 0, np.log(np.maximum(seen, 1)) - np.log(np.maximum(under, 1)), score[ends] + (np.log(alpha) if n > 1 else 0.0))
             context = np.ones(len(part), np.int64)
