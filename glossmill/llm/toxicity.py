@@ -72,7 +72,7 @@ def telling(slots: np.ndarray, firsts: np.ndarray, positive: np.ndarray, least_z
     return np.sort(used[order[z[order] >= least_z]])
 
 
-def train(texts: list[str], positive: np.ndarray, prior: float, bits: int = 18, rounds: int = 300, step: float = 0.05, ridge: float = 5e-4, least_z: float = 4.0, most: int = 2000, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
+def train(texts: list[str], positive: np.ndarray, prior: float, bits: int = 21, rounds: int = 300, step: float = 0.05, ridge: float = 5e-4, least_z: float = 5.0, most: int = 2000, beta: float = 0.0, gamma: float = 1.0) -> tuple[np.ndarray, float]:
     """Weights and bias; ``positive`` marks the confirmed texts, all others are unlabelled.
 
     Adam on the full sample with the logistic loss, over the features that :func:`telling` picks.
@@ -111,7 +111,7 @@ def train(texts: list[str], positive: np.ndarray, prior: float, bits: int = 18,
     return whole, bias
 
 
-def calibrate(z: np.ndarray, positive: np.ndarray, prior: float, threshold: float, cost: float = 3.0) -> tuple[float, float]:
+def calibrate(z: np.ndarray, positive: np.ndarray, prior: float, threshold: float, cost: float = 1.5) -> tuple[float, float]:
     """Slope and shift of margins, so that a score of ``threshold`` falls where the classes part.
 
     The cut is the margin with the least corrected error: missed positives at their prior, plus unlabelled
@@ -131,6 +131,30 @@ def calibrate(z: np.ndarray, positive: np.ndarray, prior: float, threshold: floa
     return slope, float(np.log(threshold / (1 - threshold))) - slope * cut
 
 
+def text_margins(texts: list[str], weights: np.ndarray, bias: float, bits: int) -> np.ndarray:
+    data, offsets = text_buffer(pa.array(texts, pa.large_string()))
+    parts = [margins(weights, bias, *features(data, offsets[a : b + 1], bits)) for a, b in row_slices(offsets)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
+def fit(texts: list[str], positive: np.ndarray, prior: float, threshold: float, bits: int, fold: int = 5, least_held: int = 20) -> tuple[np.ndarray, float, float, float, int]:
+    """Weights, bias, slope, shift and bits.
+
+    Every ``fold``-th text is kept from the training and places the cut, since the margins of texts trained on are
+    too wide; where that leaves under ``least_held`` positives, all texts do.
+    """
+    aside = np.zeros(len(texts), bool)
+    aside[np.flatnonzero(positive)[::fold]] = True
+    aside[np.flatnonzero(~positive)[::fold]] = True
+    if (aside & positive).sum() < least_held:
+        aside[:] = False
+    rest = np.flatnonzero(~aside)
+    weights, bias = train([texts[i] for i in rest], positive[rest], prior, bits)
+    seen = np.flatnonzero(aside) if aside.any() else rest
+    slope, shift = calibrate(text_margins([texts[i] for i in seen], weights, bias, bits), positive[seen], prior, threshold)
+    return weights.astype(np.float32), bias, slope, shift, bits
+
+
 def _score_rows(model):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias, slope, shift, bits = model()
@@ -143,7 +167,7 @@ def _score_rows(model):
     return rows
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, bits: int = 18, max_positive: int = 3000, max_unlabelled: int = 6000, max_chars: int = 20_000) -> DataFrame:
+def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, bits: int = 21, max_positive: int = 3000, max_unlabelled: int = 6000, max_chars: int = 20_000) -> DataFrame:
     """All columns of ``docs`` with held_out, score and predicted.
 
     ``docs``: doc_id and text; ``labels``: doc_id and toxic (0 or 1; null: unlabelled).  Rows whose
@@ -173,11 +197,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, b
     texts, marks = [r[2] or "" for r in rows], np.array([r[0] == 0 for r in rows], bool)
     if marks.any():
         prior = min(0.5, max(1e-3, float(share.p)))
-        weights, bias = train(texts, marks, prior, bits)
-        data, offsets = text_buffer(pa.array(texts, pa.large_string()))
-        z = np.concatenate([margins(weights, bias, *features(data, offsets[a : b + 1], bits)) for a, b in row_slices(offsets)])
-        slope, shift = calibrate(z, marks, prior, threshold)
-        sent = spark.sparkContext.broadcast((weights.astype(np.float32), bias, slope, shift, bits))  # 4 bytes times 2 ** bits
+        sent = spark.sparkContext.broadcast(fit(texts, marks, prior, threshold, bits))  # 4 bytes times 2 ** bits
     else:
         sent = spark.sparkContext.broadcast((np.zeros(1 << bits, np.float32), 0.0, 0.0, -40.0, bits))
     others = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
