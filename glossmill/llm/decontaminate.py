@@ -207,7 +207,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, radius: int
     Null and empty texts, on either side, match nothing.  Texts shorter than an item are one window.
     Repeated rows of ``docs`` are each reported; repeated items are each found.  Empty tables give an
     empty result.  The index goes to all tasks only in parts of up to ``max_words`` words (and at least
-    one item); a larger benchmark takes a pass over the documents for each part.
+    one item); a larger benchmark takes a pass over the documents for each part, and shingle weights are
+    those of the part that an item is in.
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
