@@ -38,7 +38,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     lines = lines.withColumn("line", F.regexp_replace("line", "^﻿", "")).where(F.trim("line") != "")
     shape = schema
     if shape is None:
-        keys = spark.read.option("allowSingleQuotes", "false").json(lines.select("line").rdd.map(lambda r: r.line))
+        keys = spark.read.option("allowSingleQuotes", "false").json(str(path))
         shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys.schema.fields if f.name != "_corrupt_record")
         if not shape:
             shape = "id string"
