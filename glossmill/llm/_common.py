@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The white space of every operator here: tab to carriage return, and space.
 SPACE_BYTES = b"\t\n\x0b\x0c\r "
@@ -17,6 +18,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.frombuffer(LOWER_TABLE, np.uint8)
 _SCRATCH: dict[str, list[str]] = {}
+_TABLES: dict[str, list[str]] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,8 +51,30 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], sort: bool = False) -> DataFrame:
+    """``df`` as a bucketed table whose files are in the shared folder; a join on ``by`` does not shuffle it."""
+    table = f"{name}_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").bucketBy(buckets, *by)
+    (writer.sortBy(*by) if sort else writer).option("path", scratch_path(df.sparkSession, name)).option("compression", "zstd").saveAsTable(table)
+    _TABLES.setdefault(df.sparkSession.sparkContext.applicationId, []).append(table)
+    return df.sparkSession.table(table)
+
+
+def hash_sample(df: DataFrame, key: str, most: int, salt: str = "sample") -> DataFrame:
+    """All rows, or where there are over ``most``, the ones with the smallest hashes of ``key``: about ``most``, the same ones each time.
+
+    A row is taken by its own hash alone, so there is no sort and no gathering in one task.
+    """
+    n = df.count()
+    if n <= most:
+        return df
+    return df.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) < int(most / n * (1 << 40)))
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it once their readers are written."""
+    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
     jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -83,6 +107,12 @@ _BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _POWERS = np.ones(1, np.uint64)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values, by a sort: numpy's unique hashes where it is asked for nothing else, which is far slower for many."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def powers(n: int) -> np.ndarray:
     """The first ``n`` powers of an odd constant, modulo 2**64."""
     global _POWERS

@@ -14,7 +14,6 @@ n-gram is pruned.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash_words, mix, row_slices, scratch_path, text_buffer
+from ._common import bucketed, distinct, hash_words, mix, row_slices, text_buffer
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Sorted distinct 64-bit hashes: differences, laid out by byte significance, deflated."""
+    """Distinct 64-bit hashes in rising runs: differences (modulo 2**64), laid out by byte significance, deflated."""
     steps = np.diff(values, prepend=np.uint64(0))
     return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
@@ -83,11 +82,12 @@ def _block_rows(size: int):
             nonlocal next_id, held
             words = np.concatenate(hashes)
             vocabulary, places, uses = np.unique(words, return_inverse=True, return_counts=True)
-            order = np.argsort(-uses, kind="stable")
+            # by classes of frequency, and by hash in each, so that places and differences both stay small
+            order = np.argsort(-np.frexp(uses.astype(np.float64))[1], kind="stable")
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
             docs = pa.array(ids, id_type)
-            row = [pa.array([next_id]), pa.array([vocabulary[order].tobytes()], pa.binary()), pa.array([pack_places(rank[places])], pa.binary()), pa.array([zlib.compress(np.concatenate(counts).astype(np.int64).tobytes(), 1)]), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([len(words)])]
+            row = [pa.array([next_id]), pa.array([pack_sorted(vocabulary[order])], pa.binary()), pa.array([pack_places(rank[places])], pa.binary()), pa.array([zlib.compress(np.concatenate(counts).astype(np.int64).tobytes(), 1)]), pa.ListArray.from_arrays(pa.array([0, len(docs)], pa.int32()), docs), pa.array([len(words)])]
             next_id += 1
             ids.clear(), hashes.clear(), counts.clear()
             held = 0
@@ -113,7 +113,7 @@ def _block_rows(size: int):
 
 def _words_of_block(vocabulary: bytes, places: bytes, n_words: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     counts = np.frombuffer(zlib.decompress(n_words), np.int64)
-    words = np.frombuffer(vocabulary, np.uint64)[unpack_places(places)]
+    words = unpack_sorted(vocabulary)[unpack_places(places)]
     return words, np.repeat(np.arange(len(counts)), counts), counts
 
 
@@ -166,7 +166,7 @@ def backoff_scores(words: np.ndarray, counts: np.ndarray, totals: dict[int, np.n
     order of their hashes.  Texts are worked through in slices of about ``slice_words`` words.
     """
     owner = np.repeat(np.arange(len(counts)), counts)
-    known = {n: np.unique(n_gram_hashes(words, owner, n)[0]) for n in range(1, order + 1)}
+    known = {n: distinct(n_gram_hashes(words, owner, n)[0]) for n in range(1, order + 1)}
     out = np.zeros(len(counts))
     firsts = np.concatenate([[0], np.cumsum(counts)])
     for a, b in row_slices(firsts, slice_words):
@@ -225,11 +225,9 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
     id_type = slim.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"lm_blocks_{uuid.uuid4().hex}"
     laid_out = slim.mapInArrow(_block_rows(block_bytes), f"block long, vocabulary binary, places binary, n_words binary, doc_ids array<{id_type}>, n long")
     # bucketed by block: the totals come to the blocks, which are never shuffled
-    laid_out.write.format("parquet").bucketBy(buckets, "block").option("path", scratch_path(spark, "blocks")).option("compression", "none").saveAsTable(name)
-    blocks = spark.table(name)
+    blocks = bucketed(laid_out, "lm_blocks", buckets, ["block"])
     n_corpus = blocks.agg(F.sum("n").alias("n")).first().n or 0
     parts = max(1, -(-n_corpus // rows_a_part))
     sent = blocks.select("block", "vocabulary", "places", "n_words").mapInArrow(_sent_rows(order, parts), "block long, n int, part int, grams binary, counts binary")
