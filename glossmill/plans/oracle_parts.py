@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.text import CJK, LATIN, TOKEN
-from .views import MIXED_FROM, MIXED_TO, THAI_FROM, THAI_TO
+from .views import MIXED_FROM, MIXED_TO, THAI_FROM, THAI_TO, VARIANT_FROM, VARIANT_TO
 
 LANG = f"CASE WHEN regexp_matches({{0}}, '^[{CJK}]') THEN 'zh' WHEN regexp_matches({{0}}, '^[{LATIN}]') THEN 'en' WHEN regexp_matches({{0}}, '^\\p{{{{Nd}}}}') THEN 'num' ELSE 'other' END"
 LANG = LANG.replace("{{", "{").replace("}}", "}").replace("{0}", "%s")
@@ -17,8 +17,8 @@ s4 AS (SELECT conv_id * 1000000 + "index" AS id, conv_id, role, "index", ref, "i
               lead(ref) OVER (PARTITION BY conv_id ORDER BY "index") AS nx, lag(ref) OVER (PARTITION BY conv_id ORDER BY "index") AS pv FROM s3),
 pairs AS (SELECT id, conv_id, role, "index", k, ref, CASE k WHEN 0 THEN ref
    WHEN 1 THEN regexp_replace(ref, '[A-Za-z\\x{{c0}}-\\x{{24f}}]+', '', 'g') WHEN 2 THEN regexp_replace(ref, '[\\x{{4e00}}-\\x{{9fff}}]', '', 'g')
-   WHEN 3 THEN ref || ' ' || ref || ' ' || ref WHEN 4 THEN regexp_replace(ref, 'th[a-z]*', '會議', 'g')
-   WHEN 5 THEN translate(ref, '{THAI_FROM}', '{THAI_TO}') WHEN 6 THEN coalesce(nx, '') ELSE coalesce(pv, '') END AS hyp FROM s4)"""
+   WHEN 3 THEN ref || ' ' || ref || ' ' || ref WHEN 4 THEN translate(regexp_replace(ref, 'th[a-z]*', '會議', 'g'), '{VARIANT_FROM}', '{VARIANT_TO}')
+   WHEN 5 THEN CASE WHEN "index" % 16 = 13 THEN coalesce(pv, '') ELSE translate(ref, '{THAI_FROM}', '{THAI_TO}') END WHEN 6 THEN coalesce(nx, '') ELSE coalesce(pv, '') END AS hyp FROM s4)"""
 
 TOKENS = (
     PAIRS

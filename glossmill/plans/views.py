@@ -2,8 +2,8 @@
 
 Every sentence of every conversation turn, whole texts of the whole table, is an utterance.  Some Latin letters are
 turned into ideographs, which makes the references mixed, and eight classes of hypotheses are derived from them by
-the utterance's place in its conversation: perfect, without English, without Chinese, repeated, translated,
-in a foreign script, and the references of the neighbours, crossed.
+the utterance's place in its conversation: perfect, without English, without Chinese, repeated, translated
+(with variant characters), in a foreign script (or, every second time, the reference before), and the references of the neighbours, crossed.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.scoring import score_utterances
 
 MIXED_FROM, MIXED_TO = "kwxyzjqv", "今日我好你係開會"
+VARIANT_FROM, VARIANT_TO = "你係", "妳系"
 THAI_FROM, THAI_TO = "abcdefghij", "กขคงจฉชซฌญ"
 
 
@@ -38,7 +39,8 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("k") == 1, F.regexp_replace(ref, r"[A-Za-z\x{c0}-\x{24f}]+", ""))
         .when(F.col("k") == 2, F.regexp_replace(ref, r"[\x{4e00}-\x{9fff}]", ""))
         .when(F.col("k") == 3, F.concat_ws(" ", ref, ref, ref))
-        .when(F.col("k") == 4, F.regexp_replace(ref, "th[a-z]*", "會議"))
+        .when(F.col("k") == 4, F.translate(F.regexp_replace(ref, "th[a-z]*", "會議"), VARIANT_FROM, VARIANT_TO))
+        .when(F.col("index") % 16 == 13, F.coalesce("pv", F.lit("")))
         .when(F.col("k") == 5, F.translate(ref, THAI_FROM, THAI_TO))
         .when(F.col("k") == 6, F.coalesce("nx", F.lit("")))
         .otherwise(F.coalesce("pv", F.lit("")))
