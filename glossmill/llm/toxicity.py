@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import hash_words, mix, row_slices, text_buffer
+from ._common import distinct, hash_sample, hash_words, mix, row_slices, text_buffer
 
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -46,7 +46,7 @@ def features(data: np.ndarray, offsets: np.ndarray, bits: int, prefixes: tuple[i
             cut = np.arange(len(long) + 1) * k
             slots.append(mix(hash_words(head, cut, lower=True)[0] + np.uint64(k)))
             owners.append(owner[long])
-    keys = np.unique(np.concatenate(owners).astype(np.uint64) << np.uint64(bits) | np.concatenate(slots) >> np.uint64(64 - bits))
+    keys = distinct(np.concatenate(owners).astype(np.uint64) << np.uint64(bits) | np.concatenate(slots) >> np.uint64(64 - bits))
     owner = (keys >> np.uint64(bits)).astype(np.int64)
     return (keys & np.uint64((1 << bits) - 1)).astype(np.int64), np.searchsorted(owner, np.arange(len(offsets)))
 
@@ -117,7 +117,7 @@ def calibrate(z: np.ndarray, positive: np.ndarray, prior: float, threshold: floa
     The cut is the margin with the least corrected error: missed positives at their prior, plus unlabelled
     texts above it beyond the positives' share, ``cost`` times.  The slope spreads the scores around it.
     """
-    order = np.sort(np.unique(z))
+    order = distinct(z)
     cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
     cuts = cuts[np.linspace(0, len(cuts) - 1, min(2000, len(cuts))).astype(int)] if len(cuts) else np.zeros(1)
     pos, rest = np.sort(z[positive]), np.sort(z[~positive])
@@ -173,8 +173,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, b
     ``docs``: doc_id and text; ``labels``: doc_id and toxic (0 or 1; null: unlabelled).  Rows whose
     crc32 of doc_id, as text, is 1 modulo 3 are held out: neither their labels nor
     their texts are learned from.  Of the others, the confirmed toxic documents and the unlabelled
-    ones (drawn from all documents, as the risk estimator wants) are sampled by the hash of doc_id, of the former at most
-    ``max_positive``, of the latter the share that makes ``max_unlabelled`` rows of the whole table, and the class prior is the share of 1 among the labels; the sample's texts longer than
+    ones (drawn from all documents, as the risk estimator wants) are sampled by the hash of doc_id, of the former about
+    ``max_positive`` at most, of the latter the share that makes ``max_unlabelled`` rows of the whole table, and the class prior is the share of 1 among the labels; the sample's texts longer than
     ``max_chars`` characters are left out of the training (every text is scored whole).
 
     Null and empty texts score as the classifier's bias does.  A null doc_id counts as not
@@ -187,7 +187,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, b
     known = labels.where(~held("doc_id") & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = known.agg(F.avg("toxic").alias("p"), F.count(F.lit(1)).alias("n")).first()
     turn = F.xxhash64("doc_id", F.lit("turn"))
-    toxic = known.where("toxic = 1").orderBy(turn, "doc_id").limit(max_positive).select("doc_id", F.lit(True).alias("positive"))  # bounded
+    toxic = hash_sample(known.where("toxic = 1"), "doc_id", max_positive).select("doc_id", F.lit(True).alias("positive"))  # about max_positive rows at most
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~held("doc_id") & (F.length("text") <= max_chars))
     share_taken = min(1.0, max_unlabelled / max(1, docs.count()))
     drawn = F.pmod(turn, F.lit(1 << 40)) < int(share_taken * (1 << 40))
