@@ -16,6 +16,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import hash_sample
+
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[^#*$%&|<>]+"
 
@@ -75,8 +77,8 @@ def buckets_of(words: Column, buckets: int) -> Column:
 
 def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_trusted: int, prior: float) -> list[float]:
     """log(target share / raw share) of each bucket; the target is smoothed towards the raw shares with ``prior`` pseudo-counts a bucket."""
-    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted)
-    flagged = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left")  # max_trusted rows at most
+    trusted = hash_sample(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "doc_id", max_trusted)
+    flagged = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left")  # about max_trusted rows at most
     words = words_of(F.coalesce(F.col("text").cast("string"), F.lit("")))
     counts = flagged.select(F.explode(let(words, lambda w: buckets_of(w, buckets))).alias("bucket"), "trusted").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     raw, target = [0] * buckets, [0] * buckets
@@ -90,9 +92,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_trusted: in
 def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.04, buckets: int = 1 << 14, max_trusted: int = 20_000, prior: float = 1.0, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """doc_id, the base figures, base_failed, score and kept, one row for each row of ``docs``.
 
-    ``docs``: doc_id, text; ``labels``: doc_id, quality (1: trusted).  Of the trusted documents
-    the ``max_trusted`` with the smallest hash of doc_id make the target; the raw
-    counts are of all rows.  Other columns are ignored.
+    ``docs``: doc_id, text; ``labels``: doc_id, quality (1: trusted).  The trusted documents, or about
+    ``max_trusted`` of them by the hash of doc_id, make the target; the raw counts are of all rows.  Other columns are ignored.
 
     Null and empty texts have no words: all counts 0, score 0, base_failed.  Rows that share
     a doc_id are each judged.  Without trusted documents every score is about 0.  An empty
