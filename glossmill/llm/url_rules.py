@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._common import hash_sample
+
 ALLOW, BLOCK = "allow", "block"
 OUTCOME = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -117,8 +119,8 @@ def _match(index):
 def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]], min_support: float = 0.002, min_count: int = 8, min_confidence: float = 0.6, min_lift: float = 2.0, most_tokens: int = 3, max_labelled: int = 200_000) -> DataFrame:
     """page_id, host, path, rule and verdict, with confidence (of the best mined rule), one row for each row of ``pages``.
 
-    ``pages``: page_id, url; ``labels``: page_id, bad (boolean); other columns are ignored.  Mining uses at most
-    ``max_labelled`` labelled pages (those with the smallest hash of page_id), and a combination must be in
+    ``pages``: page_id, url; ``labels``: page_id, bad (boolean); other columns are ignored.  Mining uses the labelled pages,
+    or about ``max_labelled`` of them by the hash of page_id, and a combination must be in
     ``min_support`` of them and in ``min_count``; every url is judged.  A url that no
     fixed rule fits is blocked if a mined rule matches it, else allowed.
 
@@ -130,7 +132,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     parts = pages.select("page_id", url.alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     parts = parts.withColumn("tokens", url_tokens(F.col("host"), F.col("path"), F.col("url")))
     known = parts.join(labels.where("bad is not null").select("page_id", "bad"), "page_id").select("page_id", "tokens", "bad")
-    known = known.orderBy(F.xxhash64("page_id"), "page_id", "bad").limit(max_labelled).cache()
+    known = hash_sample(known, "page_id", max_labelled).cache()
     try:
         n = known.count()
         support = max(min_support, min_count / n) if n else 2.0
