@@ -11,7 +11,6 @@ new batch only, never the index.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER_TABLE, SPACE_BYTES, materialize, scratch_path
+from ._common import LOWER_TABLE, SPACE_BYTES, bucketed, materialize
 
 KEYS = ["hi", "lo"]
 
@@ -50,17 +49,7 @@ class LineRuns:
         self.repeats: list[DataFrame] = []
 
     def _write(self, df: DataFrame, level: int) -> DataFrame:
-        name = f"line_run_{uuid.uuid4().hex}"
-        (
-            df.repartition(self.buckets, *KEYS)
-            .write.format("parquet")
-            .bucketBy(self.buckets, *KEYS)
-            .sortBy(*KEYS)
-            .option("path", scratch_path(self.spark, f"run{level}"))
-            .option("compression", "zstd")
-            .saveAsTable(name)
-        )
-        return self.spark.table(name)
+        return bucketed(df.repartition(self.buckets, *KEYS), f"line_run{level}", self.buckets, KEYS, sort=True)
 
     def runs(self) -> list[DataFrame]:
         return [r for level in self.levels for r in level]
