@@ -72,7 +72,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64))], ["row", "n_tokens"])
 
 
-def mix(docs: DataFrame, total_share: float, weights: Mapping[tuple, float], most_epochs: float = 4.0, seed: int = 0, rows_a_range: int = 1000, max_leaves: int = 1_000_000) -> DataFrame:
+def mix(docs: DataFrame, total_share: float, weights: Mapping[tuple, float], most_epochs: float = 4.0, seed: int = 0, rows_a_range: int = 1000, broadcast_leaves: int = 20_000, max_leaves: int = 1_000_000) -> DataFrame:
     """doc_id, domain, lang, source, n_tokens and copies (at least 1) of the rows selected.
 
     ``docs``: doc_id, text, domain, lang and source; other columns are ignored.  The budget is ``total_share`` of all
@@ -82,6 +82,7 @@ def mix(docs: DataFrame, total_share: float, weights: Mapping[tuple, float], mos
     Null levels are leaves of their own.  Null and empty texts have no tokens: they go with the
     rows before them in the order.  Rows that share a doc_id are taken or left together.  An empty table gives
     an empty result.  The tree (not the rows) is worked on by the driver; over ``max_leaves`` leaves are an error.
+    Its table goes to all tasks up to ``broadcast_leaves`` leaves; larger ones are joined by a shuffle.
     """
     slim = docs.select(F.struct("doc_id", *LEVELS).alias("row"), F.col("text").cast("string").alias("text"))
     sized = slim.mapInArrow(_word_counts, T.StructType([slim.schema["row"], T.StructField("n_tokens", T.LongType())]))
@@ -99,7 +100,8 @@ def mix(docs: DataFrame, total_share: float, weights: Mapping[tuple, float], mos
     schema = T.StructType([*[rows.schema[c] for c in LEVELS], *[T.StructField(c, T.LongType()) for c in ("leaf", "whole", "rest", "ranges")]])
     for f in schema.fields:
         f.nullable = True
-    table = F.broadcast(docs.sparkSession.createDataFrame(plan, schema))  # max_leaves rows at most
+    sent = F.broadcast if len(plan) <= broadcast_leaves else (lambda df: df)
+    table = sent(docs.sparkSession.createDataFrame(plan, schema))
     same = [rows[c].eqNullSafe(table[c]) for c in LEVELS]
     keyed = rows.join(table, same[0] & same[1] & same[2]).select(*[rows[c] for c in rows.columns], "leaf", "whole", "rest", "ranges")
     keyed = keyed.withColumn("turn", F.pmod(F.xxhash64(F.lit(seed), F.col("whole") + 1, F.col("doc_id").cast("string")), F.lit(1 << _KEY_BITS)))
@@ -108,7 +110,7 @@ def mix(docs: DataFrame, total_share: float, weights: Mapping[tuple, float], mos
     run = sums.withColumn("upto", F.sum("t").over(Window.partitionBy("leaf").orderBy("range")))
     # the range in which the budget ends: the first whose sum goes over it
     ends = run.where(F.col("upto") > F.col("rest")).groupBy("leaf").agg(F.min("range").alias("last"), F.min_by(F.col("upto") - F.col("t"), "range").alias("before"))
-    placed = keyed.join(F.broadcast(ends), "leaf", "left")  # a row for each leaf at most
+    placed = keyed.join(sent(ends), "leaf", "left")
     sure = placed.where("last is null or range <> last").withColumn("extra", (F.col("last").isNull() | (F.col("range") < F.col("last"))).cast("long"))
     edge = placed.where("range = last")
     upto = F.sum("n_tokens").over(Window.partitionBy("leaf").orderBy("turn", "doc_id").rangeBetween(Window.unboundedPreceding, Window.currentRow))

@@ -53,13 +53,13 @@ def brute(spark, docs, total_share, weights, most_epochs, seed):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("total_share,rows_a_range", [(0.5, 7), (0.9, 3), (2.5, 1000), (0.0, 5)])
-def test_mix_equals_brute_force(spark, total_share, rows_a_range):
+@pytest.mark.parametrize("total_share,rows_a_range,broadcast_leaves", [(0.5, 7, 100), (0.9, 3, 0), (2.5, 1000, 100), (0.0, 5, 100)])
+def test_mix_equals_brute_force(spark, total_share, rows_a_range, broadcast_leaves):
     rows = [(i, "w " * (i * 37 % 41), "web" if i % 3 else "books", "en" if i % 4 else None, f"s{i % 5 % 3}", i) for i in range(300)]
     rows += [(7, "again and again", "web", "en", "s2", 0), (400, None, "web", "en", "s1", 0), (401, "", "tiny", "xx", "none", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string, n_tokens int")
     weights = {("web",): 1.0, ("books",): 3.0, ("web", "en"): 2.0}
-    got = sorted((tuple(r) for r in mix(docs, total_share, weights, 3.0, 5, rows_a_range).collect()), key=str)
+    got = sorted((tuple(r) for r in mix(docs, total_share, weights, 3.0, 5, rows_a_range, broadcast_leaves).collect()), key=str)
     assert got == brute(spark, docs, total_share, weights, 3.0, 5)
 
 
