@@ -194,20 +194,33 @@ def _link_rows(radius: int):
     return rows
 
 
-def tree_links(members: DataFrame, radius: int, most: int = 1000) -> DataFrame:
-    """Links u, v between the nodes of ``members`` (key, node, fp) that share a key and are within ``radius``.
+def deal_shards(members: DataFrame, most: int, weight: str | None = None, most_weight: int = 2_000_000) -> DataFrame:
+    """``members`` (key, node and others) with a shard for each shard that they are in, instead of the key.
 
-    A key with over ``most`` members is dealt out: its members are hashed into chunks of
+    A key with over ``most`` members, or over ``most_weight`` of ``weight``, is dealt out: its members are hashed into chunks of
     about ``most``, and each pair of chunks makes a shard.
     """
-    hot = members.groupBy("key").count().where(F.col("count") > most).select("key", F.ceil(F.col("count") / most).cast("int").alias("chunks"))
+    load = F.col("count") / most
+    sums = [F.count(F.lit(1)).alias("count")]
+    if weight:
+        load = F.greatest(load, F.col("weight") / most_weight)
+        sums.append(F.sum(weight).alias("weight"))
+    hot = members.groupBy("key").agg(*sums).where((load > 1) & (F.col("count") > 1)).select("key", F.least(F.ceil(load), "count").cast("int").alias("chunks"))
     dealt = members.join(hot, "key", "left")
     own = F.when(F.col("chunks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("chunks"))).cast("int")
     cells = F.transform(F.sequence(F.lit(0), F.coalesce(F.col("chunks"), F.lit(1)) - 1), lambda j: F.xxhash64("key", F.least(own, j), F.greatest(own, j)))
-    shards = dealt.select(F.explode(cells).alias("shard"), "node", "fp")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # ids in 64 bits: a shard shared by chance only costs comparisons
-    return shards.repartition(n, "shard").sortWithinPartitions("shard").mapInArrow(_link_rows(radius), "u long, v long")
+    return dealt.select(F.explode(cells).alias("shard"), *[c for c in members.columns if c != "key"])
+
+
+def by_shard(shards: DataFrame) -> DataFrame:
+    n = int(shards.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return shards.repartition(n, "shard").sortWithinPartitions("shard")
+
+
+def tree_links(members: DataFrame, radius: int, most: int = 1000) -> DataFrame:
+    """Links u, v between the nodes of ``members`` (key, node, fp) that share a key and are within ``radius``."""
+    return by_shard(deal_shards(members, most)).mapInArrow(_link_rows(radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, shared: int = 2, most: int = 1000) -> DataFrame:
@@ -232,16 +245,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, shared: in
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), component)
 
 
-def sketch_links(prints: DataFrame, radius: int, keys: int, most: int) -> DataFrame:
-    """Links within ``radius`` between nodes (node, fp, least) that share one of their ``keys`` smallest shingle hashes.
+def sketch_members(prints: DataFrame, keys: int, *others: str) -> DataFrame:
+    """key, node and ``others`` of nodes (node, least) for each of their ``keys`` smallest shingle hashes.
 
     For radii at which shards by blocks of bits would hold nearly everything: two texts of
     shingle similarity J agree in the smallest hash of their union with probability J, and miss each
     other in all of ``keys`` with about (1 - J) ** keys.
     """
-    members = prints.select(F.explode(F.slice("least", 1, keys)).alias("key"), "node", "fp")
-    none = prints.where(F.size("least") == 0).select(F.lit(0).cast("long").alias("key"), "node", "fp")
-    return tree_links(members.unionByName(none), radius, most)
+    members = prints.select(F.explode(F.slice("least", 1, keys)).alias("key"), "node", *others)
+    none = prints.where(F.size("least") == 0).select(F.lit(0).cast("long").alias("key"), "node", *others)
+    return members.unionByName(none)
 
 
 def _similar_rows(words: int, least: float):
@@ -266,24 +279,155 @@ def _similar_rows(words: int, least: float):
     return rows
 
 
+def _open_rows(radius: int, least: float):
+    """(shard, node) of the members that are within ``radius`` of one of another component; rows arrive sorted by shard."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(5)]
+
+        def opened(shard, node, fp, n, component) -> pa.RecordBatch:
+            out = []
+            edges = np.flatnonzero(np.diff(shard)) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [len(shard)]])
+            several = np.minimum.reduceat(component, starts) != np.maximum.reduceat(component, starts)
+            for a, b in zip(starts[several].tolist(), ends[several].tolist()):
+                bits, sizes, own = fp[a:b].view(np.uint64), n[a:b], component[a:b]
+                hit = np.zeros(b - a, bool)
+                for lo in range(0, b - a, 256):
+                    some = slice(lo, lo + 256)
+                    near = np.bitwise_count(bits[some, None] ^ bits[None, :]) <= radius
+                    near &= own[some, None] != own[None, :]
+                    # sets of sizes m <= n have a Jaccard similarity of m / n at most
+                    near &= np.minimum(sizes[some, None], sizes[None, :]) >= least * np.maximum(sizes[some, None], sizes[None, :])
+                    hit[some] |= near.any(1)
+                out.append(a + np.flatnonzero(hit))
+            at = np.concatenate(out) if out else np.zeros(0, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(shard[at]), pa.array(node[at])], ["shard", "node"])
+
+        for batch in batches:
+            now = [np.concatenate([old, c.to_numpy(zero_copy_only=False)]) for old, c in zip(left, batch.columns)]
+            whole = int(np.searchsorted(now[0], now[0][-1])) if len(now[0]) else 0
+            left = [x[whole:] for x in now]
+            if whole:
+                yield opened(*(x[:whole] for x in now))
+        if len(left[0]):
+            yield opened(*left)
+
+    return rows
+
+
+def _set_rows(words: int):
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes((t or "").encode(), words)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "shingles"])
+
+    return rows
+
+
+def common_counts(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
+    """How many elements any two of ``sets`` (distinct elements each) have in common."""
+    both = np.zeros((len(sets), len(sets)))
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, uses = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = uses > 1
+    keep = shared[column]
+    column, owner = (np.cumsum(shared) - 1)[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    n = int(shared.sum())
+    for lo in range(0, n, step):
+        a, b = np.searchsorted(column, [lo, lo + step])
+        part = np.zeros((len(sets), min(step, n - lo)), np.float32)
+        part[owner[a:b], column[a:b] - lo] = 1
+        both += part @ part.T
+    return both
+
+
+def _verified_rows(radius: int, least: float):
+    """Links between components, a forest for each shard, from all its pairs within ``radius`` that are similar; rows arrive sorted by shard."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def linked() -> list[tuple[int, int]]:
+            bits = np.array([r[1] for r in held], np.int64).view(np.uint64)
+            own = [r[2] for r in held]
+            sets = [np.frombuffer(r[3], np.uint64) for r in held]
+            sizes = np.array([len(s) for s in sets])
+            both = common_counts(sets)
+            root = {c: c for c in own}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            out = []
+            for x in range(len(held)):
+                near = np.bitwise_count(bits[x] ^ bits[x + 1 :]) <= radius
+                near &= both[x, x + 1 :] >= least * (sizes[x] + sizes[x + 1 :] - both[x, x + 1 :])
+                for y in (np.flatnonzero(near) + x + 1).tolist():
+                    a, b = find(own[x]), find(own[y])
+                    if a != b:
+                        root[max(a, b)] = min(a, b)
+                        out.append((own[x], own[y]))
+            return out
+
+        def batch_of(links: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in links], pa.int64()) for i in range(2)], ["u", "v"])
+
+        last = None
+        for batch in batches:
+            out = []
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != last and held:
+                    out += linked()
+                    held.clear()
+                last = shard
+                held.append((shard, *row))
+            yield batch_of(out)
+        if held:
+            yield batch_of(linked())
+
+    return rows
+
+
+def open_links(nodes: DataFrame, texts: DataFrame, words: int, radius: int, least: float, keys: int, most: int) -> DataFrame:
+    """Links between components of ``nodes`` (node, fp, least, n_shingles, component) from every pair of one shard that is
+    within ``radius`` and similar.  The shingles of a text (``texts``: id, text) move only to shards where it has such a pair left to verify."""
+    shards = deal_shards(sketch_members(nodes, keys, "fp", "n_shingles", "component"), most, "n_shingles")
+    opened = by_shard(shards).mapInArrow(_open_rows(radius, least), "shard long, node long")
+    opened = materialize(opened, "open")
+    used = opened.select("node").distinct()
+    sets = texts.join(used, texts.id == used.node, "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_set_rows(words), "node long, shingles binary")
+    full = opened.join(nodes.select("node", "fp", "component"), "node").join(sets, "node").select("shard", "fp", "component", "shingles")
+    return by_shard(full).mapInArrow(_verified_rows(radius, least), "u long, v long")
+
+
 def similar_groups(docs: DataFrame, words: int = 5, radius: int = 16, least: float = 0.8, keys: int = 8, most: int = 1000) -> DataFrame:
     """doc_id and component_id of near-duplicate texts by shingle similarity, one row for each row of ``docs``.
 
-    Texts with the same fingerprint and the same sketch are one node.  Candidates come from BK-trees
-    with a wide radius; what the trees link (the tightest links of a spanning forest) is verified by the
-    exact Jaccard similarity of the distinct shingles, at least ``least``.  Nulls, empty texts, repeated rows and empty
+    Texts with the same fingerprint and the same sketch are one node.  Two nodes are alike where they share one of their ``keys``
+    smallest shingle hashes, their fingerprints are within ``radius`` bits, and the exact Jaccard similarity of the distinct
+    shingles is at least ``least``; groups are the components of all such pairs.  What BK-trees link (the tightest links of a
+    spanning forest) is verified first; then every pair whose components are still apart.  Nulls, empty texts, repeated rows and empty
     tables: as in :func:`near_duplicates`.
     """
     prints = materialize(fingerprints(docs, words, sketch=max(keys, 16)).withColumn("same", F.xxhash64("fp", "n_shingles", F.array_join(F.col("least").cast("array<string>"), ","))), "sketches")
-    nodes = prints.where("doc_id is not null").groupBy("same").agg(F.min(F.col("doc_id").cast("long")).alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least"))
+    nodes = prints.where("doc_id is not null").groupBy("same").agg(F.min(F.col("doc_id").cast("long")).alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least"), F.first("n_shingles").alias("n_shingles"))
     nodes = materialize(nodes, "nodes")
-    links = materialize(sketch_links(nodes, radius, keys, most).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    trees = tree_links(sketch_members(nodes, keys, "fp"), radius, most)
+    links = materialize(trees.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
     used = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(used, "id", "left_semi").dropDuplicates(["id"])
-    texts = materialize(texts, "linked")
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = materialize(known.join(used, "id", "left_semi").dropDuplicates(["id"]), "linked")
     pairs = links.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
     good = pairs.select("u", "v", "a", "b").mapInArrow(_similar_rows(words, least), "u long, v long")
-    linked = components(good)
-    named = nodes.join(linked, "node", "left").select("same", F.coalesce("component", "node").alias("component_id"))
+    first = nodes.join(components(good), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = materialize(first, "first_groups")
+    joined = components(open_links(first, known, words, radius, least, keys, most)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    named = first.select("same", "component").join(joined, "component", "left").select("same", F.coalesce("whole", "component").alias("component_id"))
     out = prints.select("doc_id", "same").join(named, "same", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

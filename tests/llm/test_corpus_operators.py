@@ -116,6 +116,30 @@ def test_similar_groups_are_verified(spark):
     assert simhash_dedup.similar_groups(table(spark, [])).collect() == []
 
 
+def brute_groups(rows, words=5, least=0.8):
+    sets = {}
+    for i, t in rows:
+        w = t.split()
+        sets[i] = {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} if len(w) >= words else {tuple(w)}
+    return union_find(sorted(sets), [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])])
+
+
+@pytest.mark.parametrize("most", [1000, 30])
+def test_similar_groups_hold_families_at_the_threshold(spark, most):
+    # most of the trees' tightest links fail here; pairs that they leave out hold the groups together
+    r, rows = random.Random(1), []
+    base = prose(900, 204).split()
+    for c in range(100):
+        own = list(base)
+        for at in r.sample(range(5, 200), r.randint(2, 5)):
+            own[at] = f"x{c}y{at}"
+        rows.append((c, " ".join(own)))
+    want = brute_groups(rows)
+    assert len(set(want.values())) == 43
+    got = {x.doc_id: x.component_id for x in simhash_dedup.similar_groups(table(spark, rows), most=most).collect()}
+    assert got == want
+
+
 def brute_lines(rows, min_chars, min_docs):
     strip = " \t\n\x0b\x0c\r"
     key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(strip))
