@@ -71,11 +71,11 @@ def _fingerprint_rows(words: int, sketch: int):
             sizes = np.zeros(batch.num_rows, np.int64)
             for i, text in enumerate(batch.column(1).to_pylist()):
                 hashes = shingle_hashes((text or "").encode(), words)
-                prints[i] = fold(hashes)
                 if sketch:
-                    own = np.unique(hashes)
+                    hashes = own = np.unique(hashes)
                     sizes[i] = len(own)
                     least.append(own[:sketch].view(np.int64).tolist())
+                prints[i] = fold(hashes)
             columns = [batch.column(0), pa.array(prints.view(np.int64))]
             names = ["doc_id", "fp"]
             if sketch:
@@ -87,7 +87,7 @@ def _fingerprint_rows(words: int, sketch: int):
 
 
 def fingerprints(docs: DataFrame, words: int, sketch: int = 0) -> DataFrame:
-    """doc_id, fp (as a signed long); with ``sketch`` also the smallest shingle hashes and the number of distinct ones."""
+    """doc_id, fp (as a signed long); with ``sketch`` also the smallest shingle hashes and the number of distinct ones, and fp is of the distinct ones."""
     schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
     if sketch:
         schema.add("least", T.ArrayType(T.LongType())).add("n_shingles", T.LongType())

@@ -140,6 +140,17 @@ def test_similar_groups_hold_families_at_the_threshold(spark, most):
     assert got == want
 
 
+def test_similar_groups_take_no_account_of_repeats(spark):
+    # one shingle set, give or take the seams, with a line once and 40 times
+    rows = []
+    for c in range(10):
+        line = prose(700 + c, 12)
+        rows += [(2 * c, f"{prose(600 + c, 200)} {line} {line}"), (2 * c + 1, f"{prose(600 + c, 200)} {' '.join([line] * 40)}")]
+    assert all(simhash_dedup.fingerprint(a[1], 5) != simhash_dedup.fingerprint(b[1], 5) for a, b in zip(rows[::2], rows[1::2]))
+    got = {x.doc_id: x.component_id for x in simhash_dedup.similar_groups(table(spark, rows)).collect()}
+    assert got == brute_groups(rows) == {i: i - i % 2 for i in range(20)}
+
+
 def brute_lines(rows, min_chars, min_docs):
     strip = " \t\n\x0b\x0c\r"
     key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(strip))
