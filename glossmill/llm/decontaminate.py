@@ -95,7 +95,9 @@ class _Group:
 class ItemIndex:
     """Items by shingle weights and by the blocks of their fingerprints."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int, radius: int):
+    def __init__(self, items: list[tuple[int, str]], k: int, radius: int, totals: tuple[int, np.ndarray, np.ndarray] | None = None):
+        """``totals``: the number of all items with words, and the shingles (sorted) that several of them have with
+        their numbers of items, where ``items`` are only a part of all."""
         self.k, self.radius = k, radius
         data, offsets = text_buffer(pa.array([t for _, t in items], pa.large_string()))
         words, firsts = text_words(data, offsets)
@@ -104,9 +106,10 @@ class ItemIndex:
         self.ids = [items[i][0] for i in held]
         self.lengths = np.array([len(own[i]) for i in held], np.int64)
         sets = [shingles(own[i], k) for i in held]
-        known, df = np.unique(np.concatenate([np.unique(s) for s in sets]) if sets else np.zeros(0, np.uint64), return_counts=True)
-        self.known, self.weights = known, np.log1p(len(sets) / df)
-        self.other = float(np.log1p(len(sets)))  # of shingles that no item has
+        self.known, df = np.unique(np.concatenate([np.unique(s) for s in sets]) if sets else np.zeros(0, np.uint64), return_counts=True)
+        n, self.weighed, df = totals or (len(sets), self.known, df)
+        self.weights = np.log1p(n / df)
+        self.other = float(np.log1p(n))  # of shingles that no item has, or one
         self.counts: list[dict[int, int]] = []
         prints = []
         for s in sets:
@@ -117,10 +120,10 @@ class ItemIndex:
         self.groups = {n: _Group(self, np.flatnonzero(self.lengths == n), [sets[i] for i in np.flatnonzero(self.lengths == n)]) for n in np.unique(self.lengths).tolist()}
 
     def weigh(self, s: np.ndarray) -> np.ndarray:
-        if len(self.known) == 0:
+        if len(self.weighed) == 0:
             return np.full(len(s), self.other)
-        at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-        return np.where(self.known[at] == s, self.weights[at], self.other)
+        at = np.minimum(np.searchsorted(self.weighed, s), len(self.weighed) - 1)
+        return np.where(self.weighed[at] == s, self.weights[at], self.other)
 
     def contains(self, s: np.ndarray) -> np.ndarray:
         return held_in(self.known, s)
@@ -198,6 +201,32 @@ def _match_rows(index, least: float):
     return rows
 
 
+def _shingle_rows(k: int):
+    """The distinct shingles of each item that has words, and a null for the item itself."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            words, firsts = text_words(data, offsets)
+            for a, b in itertools.pairwise(firsts.tolist()):
+                if b > a:
+                    own = pa.array(np.unique(shingles(words[a:b], k)).view(np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays([own, pa.nulls(1, pa.int64())])], ["shingle"])
+
+    return rows
+
+
+def item_totals(items: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """The number of items with words, and the shingles that several of them have, sorted, with their numbers of items."""
+    found = items.select("text").mapInArrow(_shingle_rows(k), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    rows = found.where("n > 1 or shingle is null").toArrow()
+    shingle, n = rows["shingle"].combine_chunks(), rows["n"].to_numpy()
+    every = shingle.is_null().to_numpy(zero_copy_only=False)
+    values = shingle.fill_null(0).to_numpy()[~every].view(np.uint64)
+    order = np.argsort(values)
+    return int(n[every].sum()), values[order], n[~every][order]
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, radius: int = 16, least: float = 0.8, max_words: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, similarity and first_word of every benchmark item found in a document.
 
@@ -207,8 +236,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, radius: int
     Null and empty texts, on either side, match nothing.  Texts shorter than an item are one window.
     Repeated rows of ``docs`` are each reported; repeated items are each found.  Empty tables give an
     empty result.  The index goes to all tasks only in parts of up to ``max_words`` words (and at least
-    one item); a larger benchmark takes a pass over the documents for each part, and shingle weights are
-    those of the part that an item is in.
+    one item); a larger benchmark takes a pass over the documents for each part.  Shingle weights are of all items
+    in any case: the weights of shingles that several items have (16 bytes each) go along with every part.
     """
     spark = docs.sparkSession
     slim = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -216,10 +245,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, radius: int
     items = benchmark.where("text is not null and item_id is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = items.agg(F.sum(F.length("text")).alias("n")).first().n or 0
     parts = max(1, -(-size // (6 * max_words)))
+    totals = item_totals(items, k) if parts > 1 else None
     out = None
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect() if parts > 1 else items.collect()
-        sent = spark.sparkContext.broadcast(ItemIndex(sorted((r.item_id, r.text) for r in own), k, radius))
+        sent = spark.sparkContext.broadcast(ItemIndex(sorted((r.item_id, r.text) for r in own), k, radius, totals))
         found = slim.mapInArrow(lambda it, sent=sent: _match_rows(lambda: sent.value, least)(it), schema)
         out = found if out is None else out.unionByName(found)
     return out

@@ -243,6 +243,22 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.contaminated(table(spark, docs), bench.limit(0)).collect() == []
 
 
+def test_leaks_do_not_depend_on_the_parts(spark):
+    # items share much with one another, so weights of one part alone would differ
+    common = prose(1, 60).split()
+    items = [(i, " ".join(prose(50 + i, 12).split() + common[(i * 3) % 30 :][: 20 + i % 3])) for i in range(24)]
+    docs = []
+    for d in range(48):
+        words = items[d % 24][1].split()
+        for at in (d % 3, -1 - d % 2)[: 1 + d % 2]:
+            words[at] = f"changed{d}"
+        docs.append((d, f"{prose(d + 900, 9)} {' '.join(words)} {prose(d + 990, 9)}"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole, split = ({(r.doc_id, r.item_id): (r.similarity, r.first_word) for r in decontaminate.contaminated(table(spark, docs), bench, max_words=n).collect()} for n in (10_000, 200))
+    assert set(whole) == brute_leaks(docs, items, 5, 0.8) and set(split) == set(whole)
+    assert all(split[p] == (pytest.approx(whole[p][0]), whole[p][1]) for p in whole)
+
+
 def test_multi_index_misses_none_within_the_radius():
     import numpy as np
 
