@@ -35,7 +35,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id stays (all rows of it)."""
-    groups = similar_groups(docs, words=5, radius=16, least=0.8)
+    groups = similar_groups(docs, words=5, radius=16, wide=24, least=0.8)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     # the texts move only if the ids of what goes are too many to send round
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
@@ -43,7 +43,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    found = contaminated(docs, read(spark, sf_dir, "benchmark"), k=5, radius=16, least=0.8)
+    found = contaminated(docs, read(spark, sf_dir, "benchmark"), k=5, radius=23, least=0.8)
     return docs.select(*COLUMNS).join(found.select("doc_id").distinct(), "doc_id", "left_anti")
 
 

@@ -227,7 +227,7 @@ def item_totals(items: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
     return int(n[every].sum()), values[order], n[~every][order]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, radius: int = 16, least: float = 0.8, max_words: int = 2_000_000) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, radius: int = 23, least: float = 0.8, max_words: int = 2_000_000) -> DataFrame:
     """doc_id, item_id, similarity and first_word of every benchmark item found in a document.
 
     ``docs``: doc_id, text; ``benchmark``: item_id (a long), text; other columns are ignored.  A row for each

@@ -31,7 +31,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark items found in documents, one row for each pair."""
-    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=5, radius=16, least=0.8)
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), k=5, radius=23, least=0.8)
 
 
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -279,8 +279,8 @@ def _similar_rows(words: int, least: float):
     return rows
 
 
-def _open_rows(radius: int, least: float):
-    """(shard, node) of the members that are within ``radius`` of one of another component; rows arrive sorted by shard."""
+def _open_rows(radius: int, least: float, few: int):
+    """(shard, node) of the members that are within ``radius`` of one of another component, or have few shingles on a side; rows arrive sorted by shard."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(5)]
@@ -296,9 +296,11 @@ def _open_rows(radius: int, least: float):
                 for lo in range(0, b - a, 256):
                     some = slice(lo, lo + 256)
                     near = np.bitwise_count(bits[some, None] ^ bits[None, :]) <= radius
+                    fewer = np.minimum(sizes[some, None], sizes[None, :])
+                    near |= fewer <= few
                     near &= own[some, None] != own[None, :]
                     # sets of sizes m <= n have a Jaccard similarity of m / n at most
-                    near &= np.minimum(sizes[some, None], sizes[None, :]) >= least * np.maximum(sizes[some, None], sizes[None, :])
+                    near &= fewer >= least * np.maximum(sizes[some, None], sizes[None, :])
                     hit[some] |= near.any(1)
                 out.append(a + np.flatnonzero(hit))
             at = np.concatenate(out) if out else np.zeros(0, np.int64)
@@ -344,7 +346,7 @@ def common_counts(sets: list[np.ndarray], step: int = 4096) -> np.ndarray:
     return both
 
 
-def _verified_rows(radius: int, least: float):
+def _verified_rows(radius: int, least: float, few: int):
     """Links between components, a forest for each shard, from all its pairs within ``radius`` that are similar; rows arrive sorted by shard."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -366,7 +368,7 @@ def _verified_rows(radius: int, least: float):
 
             out = []
             for x in range(len(held)):
-                near = np.bitwise_count(bits[x] ^ bits[x + 1 :]) <= radius
+                near = (np.bitwise_count(bits[x] ^ bits[x + 1 :]) <= radius) | (np.minimum(sizes[x], sizes[x + 1 :]) <= few)
                 near &= both[x, x + 1 :] >= least * (sizes[x] + sizes[x + 1 :] - both[x, x + 1 :])
                 for y in (np.flatnonzero(near) + x + 1).tolist():
                     a, b = find(own[x]), find(own[y])
@@ -394,25 +396,25 @@ def _verified_rows(radius: int, least: float):
     return rows
 
 
-def open_links(nodes: DataFrame, texts: DataFrame, words: int, radius: int, least: float, keys: int, most: int) -> DataFrame:
+def open_links(nodes: DataFrame, texts: DataFrame, words: int, radius: int, least: float, keys: int, most: int, few: int) -> DataFrame:
     """Links between components of ``nodes`` (node, fp, least, n_shingles, component) from every pair of one shard that is
-    within ``radius`` and similar.  The shingles of a text (``texts``: id, text) move only to shards where it has such a pair left to verify."""
+    within ``radius`` (or has at most ``few`` shingles on one side) and similar.  The shingles of a text (``texts``: id, text) move only to shards where it has such a pair left to verify."""
     shards = deal_shards(sketch_members(nodes, keys, "fp", "n_shingles", "component"), most, "n_shingles")
-    opened = by_shard(shards).mapInArrow(_open_rows(radius, least), "shard long, node long")
+    opened = by_shard(shards).mapInArrow(_open_rows(radius, least, few), "shard long, node long")
     opened = materialize(opened, "open")
     used = opened.select("node").distinct()
     sets = texts.join(used, texts.id == used.node, "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_set_rows(words), "node long, shingles binary")
     full = opened.join(nodes.select("node", "fp", "component"), "node").join(sets, "node").select("shard", "fp", "component", "shingles")
-    return by_shard(full).mapInArrow(_verified_rows(radius, least), "u long, v long")
+    return by_shard(full).mapInArrow(_verified_rows(radius, least, few), "u long, v long")
 
 
-def similar_groups(docs: DataFrame, words: int = 5, radius: int = 16, least: float = 0.8, keys: int = 8, most: int = 1000) -> DataFrame:
+def similar_groups(docs: DataFrame, words: int = 5, radius: int = 16, least: float = 0.8, keys: int = 8, most: int = 1000, wide: int = 24, few: int = 16) -> DataFrame:
     """doc_id and component_id of near-duplicate texts by shingle similarity, one row for each row of ``docs``.
 
     Texts with the same fingerprint and the same sketch are one node.  Two nodes are alike where they share one of their ``keys``
-    smallest shingle hashes, their fingerprints are within ``radius`` bits, and the exact Jaccard similarity of the distinct
-    shingles is at least ``least``; groups are the components of all such pairs.  What BK-trees link (the tightest links of a
-    spanning forest) is verified first; then every pair whose components are still apart.  Nulls, empty texts, repeated rows and empty
+    smallest shingle hashes, their fingerprints are within ``wide`` bits or one of them has at most ``few`` shingles, and the exact Jaccard
+    similarity of the distinct shingles is at least ``least``; groups are the components of all such pairs.  What BK-trees link
+    within ``radius`` bits (the tightest links of a spanning forest) is verified first; then every pair whose components are still apart.  Nulls, empty texts, repeated rows and empty
     tables: as in :func:`near_duplicates`.
     """
     prints = materialize(fingerprints(docs, words, sketch=max(keys, 16)).withColumn("same", F.xxhash64("fp", "n_shingles", F.array_join(F.col("least").cast("array<string>"), ","))), "sketches")
@@ -427,7 +429,7 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 16, least: flo
     good = pairs.select("u", "v", "a", "b").mapInArrow(_similar_rows(words, least), "u long, v long")
     first = nodes.join(components(good), "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = materialize(first, "first_groups")
-    joined = components(open_links(first, known, words, radius, least, keys, most)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
+    joined = components(open_links(first, known, words, max(radius, wide), least, keys, most, few)).select(F.col("node").alias("component"), F.col("component").alias("whole"))
     named = first.select("same", "component").join(joined, "component", "left").select("same", F.coalesce("whole", "component").alias("component_id"))
     out = prints.select("doc_id", "same").join(named, "same", "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

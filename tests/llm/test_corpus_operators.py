@@ -151,6 +151,15 @@ def test_similar_groups_take_no_account_of_repeats(spark):
     assert got == brute_groups(rows) == {i: i - i % 2 for i in range(20)}
 
 
+def test_similar_groups_hold_short_texts(spark):
+    # 5 shingles against 4: a similarity of exactly 0.8, often over 16 bits apart
+    rows = [(2 * c + k, " ".join(prose(3000 + c, 9).split()[: 9 - k])) for c in range(80) for k in (0, 1)]
+    apart = [(simhash_dedup.fold(a) ^ simhash_dedup.fold(b)).bit_count() for a, b in ([simhash_dedup.shingle_hashes(t.encode(), 5) for _, t in rows[i : i + 2]] for i in range(0, 160, 2))]
+    assert max(apart) > 16
+    got = {x.doc_id: x.component_id for x in simhash_dedup.similar_groups(table(spark, rows)).collect()}
+    assert got == brute_groups(rows) == {i: i - i % 2 for i in range(160)}
+
+
 def brute_lines(rows, min_chars, min_docs):
     strip = " \t\n\x0b\x0c\r"
     key = lambda x: "".join(c.lower() if c.isascii() else c for c in x.strip(strip))
@@ -259,6 +268,26 @@ def test_leaks_do_not_depend_on_the_parts(spark):
     assert all(split[p] == (pytest.approx(whole[p][0]), whole[p][1]) for p in whole)
 
 
+def test_leaks_over_sixteen_bits_apart_are_found(spark):
+    import numpy as np
+
+    items = [(i, prose(5000 + i, 50)) for i in range(400)]
+    index = decontaminate.ItemIndex(items, 5, 16)
+    docs = []
+    for i, text in items:
+        words = text.split()
+        words[2] = f"changed{i}"
+        words[-2] = f"other{i}"
+        s = decontaminate.shingles(decontaminate.text_words(*decontaminate.text_buffer(decontaminate.pa.array([" ".join(words)], "large_string")))[0], 5)
+        own = decontaminate.pack((decontaminate.signs(s) * index.weigh(s)[:, None]).sum(0, keepdims=True))[0]
+        if int(np.bitwise_count(own ^ index.prints[i])) > 16:
+            assert index.similarity(s, i) >= 0.8 and i not in index.match(decontaminate.text_words(*decontaminate.text_buffer(decontaminate.pa.array([" ".join(words)], "large_string")))[0], 0.8)
+            docs.append((i, " ".join(words)))
+    assert docs
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(table(spark, docs), bench).collect()} == {(i, i) for i, _ in docs}
+
+
 def test_multi_index_misses_none_within_the_radius():
     import numpy as np
 
