@@ -83,17 +83,71 @@ def group_means(rows: DataFrame) -> DataFrame:
     return rows.groupBy("foreign_script").agg(F.count(F.lit(1)).alias("n"), *means)
 
 
+def deal(rng: np.random.Generator, sizes: np.ndarray, k: int) -> np.ndarray:
+    """How many of ``k`` things drawn without replacement fall into each of the classes of ``sizes``.
+
+    Each thing is taken with probability k / n, then things chosen evenly are added or put back until
+    there are k: any k things are as likely as any others, for populations of any size.
+    """
+    took = rng.binomial(sizes, k / sizes.sum())
+    over = int(took.sum()) - k
+    if over:
+        pool = took if over > 0 else sizes - took
+        at = rng.choice(int(pool.sum()), abs(over), replace=False, shuffle=False)
+        moved = np.bincount(np.searchsorted(np.cumsum(pool), at, side="right"), minlength=len(sizes))
+        took = took - moved if over > 0 else took + moved
+    return took
+
+
+def _permute_blocks(used: DataFrame, n: int, seed: int, rows_per_block: int = 100_000, tasks: int = 64) -> DataFrame:
+    """The permutation test over v and f for any number of values: nothing but one count a block reaches the driver.
+
+    Equal values are counted together and hashed into blocks.  A permutation deals its group to blocks
+    by their sizes and within a block to values by their counts, so that the group has its exact size.
+    """
+    schema = "observed double, p_value double"
+    counts = used.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.count_if("f").alias("k"))
+    blocks = max(1, -(-counts.count() // rows_per_block))
+    counts = counts.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
+    sums = counts.groupBy("block").agg(F.sum("c").alias("c"), F.sum("k").alias("k"), F.sum(F.col("v") * F.col("k")).alias("a"), F.sum(F.col("v") * F.col("c")).alias("all")).orderBy("block").toPandas()
+    size, k, inside, total = int(sums.c.sum()), int(sums.k.sum()), float(sums.a.sum()), float(sums["all"].sum())
+    if k in (0, size):
+        return used.sparkSession.createDataFrame([(None, None)], schema)
+    observed = abs(inside / k - (total - inside) / (size - k))
+    sizes, place = sums.c.to_numpy(np.int64), {b: i for i, b in enumerate(sums.block.tolist())}
+    slices = max(1, min(n, tasks // blocks))
+
+    def draw(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        block, part = int(key[0]), int(key[1])
+        rows = rows.sort_values("v")
+        values, held = rows.v.to_numpy(), rows.c.to_numpy(np.int64)
+        ids = range(part, n, slices)
+        out = []
+        for i in ids:
+            own = deal(np.random.default_rng([seed, i]), sizes, k)[place[block]]
+            out.append(float(values @ deal(np.random.default_rng([seed, i, block + 1]), held, int(own))))
+        return pd.DataFrame({"id": list(ids), "some": out})
+
+    dealt = counts.select("v", "c", "block", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("part"))
+    drawn = dealt.groupBy("block", "part").applyInPandas(draw, "id long, some double").groupBy("id").agg(F.sum("some").alias("some"))
+    gap = F.abs(F.col("some") / k - (F.lit(total) - F.col("some")) / (size - k))
+    # sums in another order differ by rounding, and a tie counts
+    hits = drawn.agg(F.count_if(gap >= observed - 1e-12 * max(1.0, abs(total) / size)).alias("hits"))
+    return hits.select(F.lit(observed).alias("observed"), ((F.col("hits") + 1) / F.lit(n + 1)).alias("p_value"))
+
+
 def permutation_test(rows: DataFrame, value: str = "cmi_ref", flag: str = "foreign_script", n: int = 10_000, seed: int = 0, most: int = 2_000_000) -> DataFrame:
     """observed (difference of means) and p_value (two-sided), one row; null without two groups.
 
-    The values go to all tasks while there are at most ``most`` of them (8 bytes each); each permutation
+    The values go to all tasks while there are at most ``most`` of them (8 bytes each); more of them are
+    counted by value and permuted in blocks, see :func:`_permute_blocks`.  Each permutation
     draws its own labels from its own seed, so the result does not depend on the partitioning.
     """
     used = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.coalesce(flag, F.lit(False)).alias("f"))
     spark = rows.sparkSession
     size = used.count()
     if size > most:
-        raise ValueError(f"{size} values; raise most, or test a sample")
+        return _permute_blocks(used, n, seed)
     pool = used.toPandas()
     a, b = np.sort(pool.v[pool.f].to_numpy()), np.sort(pool.v[~pool.f].to_numpy())
     schema = "observed double, p_value double"

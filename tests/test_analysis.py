@@ -96,6 +96,23 @@ def test_permutation_and_runs(spark):
     assert collapse.top_share(g, "speaker", 8).first().share == 1.0
 
 
+def test_permutation_over_the_bound(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sizes = np.array([5, 1, 30, 4])
+    drawn = np.array([collapse.deal(rng, sizes, 13) for _ in range(20_000)])
+    assert (drawn.sum(1) == 13).all() and (drawn <= sizes).all() and (drawn >= 0).all()
+    exact = rng.multivariate_hypergeometric(sizes, 13, 20_000)
+    assert drawn.mean(0) == pytest.approx(exact.mean(0), abs=0.05) and drawn.var(0) == pytest.approx(exact.var(0), abs=0.1)
+    rows = spark.createDataFrame([(float(v), bool(f)) for v, f in zip(rng.random(300).round(2), rng.random(300) < 0.3)], "cmi_ref double, foreign_script boolean")
+    whole, blocks = (collapse.permutation_test(rows, n=2000, most=m).first() for m in (1000, 100))
+    assert blocks.observed == pytest.approx(whole.observed) and blocks.p_value == pytest.approx(whole.p_value, abs=0.05)
+    monkeypatch.setattr(collapse._permute_blocks, "__defaults__", (20, 16))  # several blocks
+    assert collapse.permutation_test(rows, n=2000, most=100).first().p_value == pytest.approx(whole.p_value, abs=0.05)
+    assert collapse.permutation_test(rows.where("not foreign_script"), n=10, most=10).first().p_value is None
+
+
 def test_reports_render(spark):
     m = scoring.diagnosis(scoring.corpus_metrics(scoring.score_utterances(pairs_of(spark, ("我好", "我好"))))).first()
     text = report.format_metrics(m, "x")
