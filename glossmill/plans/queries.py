@@ -424,7 +424,7 @@ def slugs_and_speakers(spark, sf_dir):
 
 @registered()
 def permutation_test(spark, sf_dir):
-    return collapse.permutation_test(scored(spark, sf_dir), n=2000)
+    return collapse.permutation_test(scored(spark, sf_dir))
 
 
 @registered("SELECT page_id AS id, regexp_replace(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1), '(.)\\.[^.]+$', '\\1') AS hyp, NULL::VARCHAR AS error FROM pages")

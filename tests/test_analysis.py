@@ -113,6 +113,19 @@ def test_permutation_over_the_bound(spark, monkeypatch):
     assert collapse.permutation_test(rows.where("not foreign_script"), n=10, most=10).first().p_value is None
 
 
+def test_registered_permutation_test_runs_all_permutations(monkeypatch):
+    import inspect
+
+    from glossmill.plans import queries
+
+    n = []
+    own = inspect.signature(collapse.permutation_test)
+    monkeypatch.setattr(queries, "scored", lambda spark, sf_dir: None)
+    monkeypatch.setattr(collapse, "permutation_test", lambda *a, **k: n.append((b := own.bind(*a, **k), b.apply_defaults())[0].arguments["n"]))
+    queries.permutation_test(None, "")
+    assert n == [10_000]
+
+
 def test_reports_render(spark):
     m = scoring.diagnosis(scoring.corpus_metrics(scoring.score_utterances(pairs_of(spark, ("我好", "我好"))))).first()
     text = report.format_metrics(m, "x")
