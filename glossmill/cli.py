@@ -116,6 +116,7 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("utts")
     p.add_argument("--manifest")
     p.add_argument("--bins", type=int, default=10)
+    p.add_argument("--corpus-name", default="[A-Za-z]", help="what follows the speaker's number in ids (a pattern)")
     p = sub.add_parser("compare-collapse")
     p.add_argument("utts", nargs="+")
     p.add_argument("--bins", type=int, default=10)
@@ -274,7 +275,7 @@ def cmd_prepare(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def cmd_collapse(spark: SparkSession, a: argparse.Namespace) -> int:
     rows = records.read_jsonl(spark, a.utts)
-    rows = rows.withColumn("speaker", X.speaker_of(F.col("id")))
+    rows = rows.withColumn("speaker", X.speaker_of(F.col("id"), a.corpus_name))
     if a.manifest:
         rows = rows.join(records.read_jsonl(spark, a.manifest).select("id", "topic"), "id", "left")
     rows = rows.persist()

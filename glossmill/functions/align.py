@@ -161,12 +161,16 @@ def edit_distance(ops: Column) -> Column:
 
 
 def token_distance(ref: Column, hyp: Column) -> Column:
-    """Edit distance of two token arrays without Python: each distinct token becomes one character."""
+    """Edit distance of two token arrays without Python: each distinct token becomes one character.
+
+    The codes are those of UTF-32 from 1 up, without the surrogates, so that over a million distinct tokens keep apart.
+    """
     from .text import let
 
     def letters(words: Column, toks: Column) -> Column:
-        code = lambda x: F.decode(F.unhex(F.lpad(F.hex(F.array_position(words, x) + 0x4DFF), 4, "0")), "UTF-16BE")
-        return F.array_join(F.transform(toks, code), "")
+        # a dictionary, so that a token is looked up once instead of searched for
+        codes = F.map_from_arrays(words, F.transform(words, lambda _, i: F.decode(F.unhex(F.lpad(F.hex(i + F.when(i < 0xD7FF, 1).otherwise(0x801)), 8, "0")), "UTF-32")))
+        return let(codes, lambda m: F.array_join(F.transform(toks, lambda x: F.element_at(m, x)), ""))
 
     return let(F.array_distinct(F.concat(ref, hyp)), lambda w: F.levenshtein(letters(w, ref), letters(w, hyp)))
 

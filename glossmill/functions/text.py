@@ -17,6 +17,8 @@ ZH, EN, NUM, OTHER = LANGS = ("zh", "en", "num", "other")
 CJK = r"\x{3400}-\x{4dbf}\x{4e00}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2a6df}\x{2a700}-\x{2ebef}\x{2f800}-\x{2fa1f}"
 LATIN = r"A-Za-z\x{c0}-\x{24f}"
 WHITE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: What stands for white space in vocabularies (space, line break, tab, word begin).
+MARKERS = "ĠĊĉ▁"
 #: One ideograph, a Latin word (apostrophes and hyphens inside), a number, or any one other character.
 TOKEN = rf"([{CJK}]|[{LATIN}]+(?:[\x{{27}}\x{{2019}}-][{LATIN}]+)*|\p{{Nd}}+(?:[.,]\p{{Nd}}+)*|[^{WHITE}])"
 
@@ -107,7 +109,7 @@ def dominant_script(text: Column) -> Column:
 def char_script(char: Column) -> Column:
     """neutral, zh, num, en or other, for one character of a vocabulary entry."""
     like = lambda p: F.regexp_like(char, F.lit(p))
-    neutral = like(rf"^[{WHITE}\p{{P}}\p{{S}}\p{{C}}\x{{2581}}\x{{0120}}]$")
+    neutral = like(rf"^[{WHITE}{MARKERS}\p{{P}}\p{{S}}\p{{C}}]$")
     return F.when(neutral, "neutral").when(like(f"^[{CJK}]$"), ZH).when(like(r"^\p{Nd}$"), NUM).when(like(r"^\p{IsLatin}$"), EN).otherwise(OTHER)
 
 
@@ -121,9 +123,9 @@ def allowed_by(text: Column, allowed: list[str]) -> Column:
     return F.size(F.array_except(text_scripts(text), F.array(*[F.lit(x) for x in [*allowed, NUM, "neutral"]]))) == 0
 
 
-def speaker_of(utt_id: Column) -> Column:
-    """The number before the first letters in ids such as 12_ABC_3; null without one."""
-    found = F.regexp_extract(utt_id, r"^(\d+)_[A-Za-z]", 1)
+def speaker_of(utt_id: Column, corpus: str = "[A-Za-z]") -> Column:
+    """The number before the beginning of the corpus's name (a pattern; any letter) in ids such as 12_ABC_3; null without one."""
+    found = F.regexp_extract(utt_id, rf"^(\d+)_(?:{corpus})", 1)
     return F.when(found != "", found)
 
 

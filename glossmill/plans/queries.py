@@ -406,14 +406,14 @@ SELECT doc_id, trim(regexp_replace(t, '[@WHITE@]+', ' ', 'g'), ' ') AS text FROM
 def normalize_basic(spark, sf_dir):
     """The normaliser without compatibility forms, which the oracle lacks."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", N.normalize(F.col("text"), N.NormalizeConfig(to_halfwidth=False)).alias("text"))
+    return d.select("doc_id", N.normalize(F.col("text"), N.NormalizeConfig(script=None, to_halfwidth=False)).alias("text"))
 
 
 @registered()
 def normalize_full(spark, sf_dir):
     """The normaliser with everything on but script conversion."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return d.select("doc_id", N.normalize(F.col("text"), N.NormalizeConfig(strip_accents=True, normalize_numbers=True)).alias("text"))
+    return d.select("doc_id", N.normalize(F.col("text"), N.NormalizeConfig(script=None, strip_accents=True, normalize_numbers=True)).alias("text"))
 
 
 @registered("SELECT doc_id, regexp_replace(coalesce(source, '') || ' ' || lang || '/' || doc_id, '[^\\p{L}\\p{N}_-]', '_', 'g') AS slug, regexp_extract(doc_id || '_ABC_' || lang, '^(\\d+)_[A-Za-z]', 1) AS speaker FROM documents")

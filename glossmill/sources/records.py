@@ -10,23 +10,30 @@ import os
 from collections.abc import Iterable
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pairs import check_unique_ids, missing_ids
 
 
+#: Partitions whose starts go to all tasks (12 bytes each); those of more are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
 def with_pos(df: DataFrame) -> DataFrame:
-    """``_pos``: the number of a row in reading order, counted partition by partition (no global sort)."""
+    """``_pos``: the number of a row in reading order, counted partition by partition (no global sort).
+
+    The numbers at which partitions start are a table of two longs a partition, which is joined; nothing of it is in the plan.
+    """
     names = df.columns
-    keyed = df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()})
-    sizes = {r._part: r.n for r in keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    starts, total = {}, 0
-    for part in sorted(sizes):
-        starts[part] = total
-        total += sizes[part]
-    start = F.element_at(F.create_map(*[F.lit(x) for p in starts for x in (p, starts[p])]), F.col("_part")) if starts else F.lit(0)
-    return keyed.withColumn("_pos", (start + F.col("_row").bitwiseAND((1 << 33) - 1)).cast("long")).select("_pos", *names)
+    keyed = df.withColumns({"_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)})
+    sizes = pa.Table.from_pylist(sorted(({"_part": r._part, "n": r.n} for r in keyed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).toLocalIterator()), key=lambda r: r["_part"]), pa.schema([("_part", pa.int32()), ("n", pa.int64())]))
+    before = pc.subtract(pc.cumulative_sum(sizes["n"]), sizes["n"])
+    starts = df.sparkSession.createDataFrame(sizes.select(["_part"]).append_column("_start", before))
+    placed = keyed.join(F.broadcast(starts) if len(sizes) <= MOST_BROADCAST else starts, "_part")
+    return placed.select((F.col("_start") + F.col("_row")).alias("_pos"), *names)
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:

@@ -125,3 +125,10 @@ def test_scoring_stream(spark, tmp_path):
             q.stop()
     assert {r.id: r.mer for r in spark.table("scored").collect()} == {"1": pytest.approx(1 / 3), "2": 0.0}
     assert sorted(r.mer for r in spark.table("windows").collect()) == [0.0, pytest.approx(1 / 3)]
+
+
+def test_token_distance_of_many_tokens(spark):
+    # over 60,000 distinct tokens: codes go past the surrogates and the first plane
+    df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(69_999)), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("a"))
+    got = df.select(token_distance(F.slice("a", 1, 60), F.slice("a", 31, 60)).alias("d"), token_distance(F.slice("a", 55_200, 300), F.concat(F.slice("a", 1, 55_199), F.slice("a", 55_201, 299))).alias("e")).first()
+    assert got.d == 60 and got.e == 55_199

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from glossmill import cli
 from glossmill.functions import normalize as N
 from glossmill.operators import pairs
-from glossmill.operators.transcribe import EchoRecognizer, UnknownModelError, build_recognizer, check_failures, infer_family, transcribe, verify_loaded
+from glossmill.operators.transcribe import EchoRecognizer, UnknownRecognizer, advice_for, build_recognizer, check_failures, family_of, fits, load_checked, transcribe, verify_loaded
 from glossmill.sources import corpus, records
 
 
@@ -65,12 +65,27 @@ def test_normaliser(spark):
     assert N.fold_numbers("three hundred and fifty apples") == "350 apples"
     assert N.fold_numbers("in twenty twenty six") == "in twenty twenty six"
     assert N.fold_numbers("Five and apples, two thousand") == "5 and apples, 2000"
-    one = spark.createDataFrame([("“\"好 呀\"”",)], "t string").select(N.clean_transcript("t").alias("c"), N.strip_accents(F.lit("café")).alias("s")).first()
+    one = spark.createDataFrame([("“\"好 呀\"”",)], "t string").select(N.clean_transcript(F.col("t")).alias("c"), N.strip_accents(F.lit("café")).alias("s")).first()
     assert (one.c, one.s) == ("好 呀", "cafe")
     with pytest.raises(ValueError):
         N.NormalizeConfig(script="x")
 
 
+def test_number_words():
+    cases = {
+        "twenty-six": "20-6", "two hundred thousand and five": "200005", "million thousand": "1001000", "hundred hundred": "10000", "ninety ten twenty": "120",
+        "zero": "0", "one_two three": "one_two 3", "Six and  AND seven, and": "13, and", "five\n six": "11", "": "", "twenty two hundred": "2200", "one two": "3",
+        "thousands": "thousands", "nineteen  Twenty": "nineteen twenty",
+    }
+    assert {t: N.fold_numbers(t) for t in cases} == cases
+
+
+def test_wrapping_quotes(spark):
+    cases = {'"""a"""': "a", ' " “x  y” " ': "x y", '"': '"', '""': "", '" " "': '"', '"a': '"a', '""a"': '"a', "a": "a", None: "", "": "", '"a" b "c"': 'a" b "c'}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.c for r in df.select("t", N.clean_transcript(F.col("t")).alias("c")).collect()} == cases
+
+
 def test_script_conversion(spark):
     table = N.script_map(spark, "t2s")
     assert spark.range(1).select(N.convert_script(F.lit("會議學"), table).alias("t")).first().t == "会议学"
@@ -103,6 +118,20 @@ def test_corpus(spark, tmp_path):
         corpus.discover(spark, str(tmp_path / "none"))
 
 
+def test_csv_shapes(spark, tmp_path):
+    root = corpus_at(tmp_path / "c", {1: ["A"] * 5, 2: [], 3: [], 4: ["A"]})
+    put(tmp_path / "c" / "Text" / "data_1.csv", 'n, Instance ,TOPIC\r\n1,"a, ""b""\nc",T\r\n\r\n2,5" long,U\n,,\n3,"  ",V\n4,w\n5,"""x"" y"z,W')
+    put(tmp_path / "c" / "Text" / "data_2.csv", "")
+    put(tmp_path / "c" / "Text" / "data_3.csv", "a,b\n1,2\n")
+    for n in (2, 3):
+        put(tmp_path / "c" / "Audio" / f"{n}_ABC" / f"{n}_1.wav", "x")
+    rows, _, problems = corpus.read_corpus(spark, root)
+    got = {(r.folder, r.row): (r.topic, r.text) for r in rows.collect()}
+    assert got == {(1, 1): ("T", 'a, "b" c'), (1, 2): ("U", '5" long'), (1, 5): ("W", '"x" yz'), (4, 1): ("A", "我哋開meeting0")}
+    assert [p.split(":")[0] for p in problems] == ["data_1.csv", "data_1.csv", "data_2.csv", "data_3.csv"]
+    assert "row 3" in problems[0] and "row 4 has only 2" in problems[1]
+
+
 def test_encodings():
     for name in ("utf-8-sig", "utf-8", "gb18030"):
         assert corpus.decode("會議".encode(name)) == "會議"
@@ -122,17 +151,44 @@ def test_transcription(spark):
 
 def test_registry(tmp_path, capsys):
     put(tmp_path / "ck" / "config.json", '{"model_type": "whisper"}')
-    assert infer_family(str(tmp_path / "ck")) == ("whisper", "config.json")
+    assert family_of(str(tmp_path / "ck")) == ("whisper", "config.json")
     assert build_recognizer(str(tmp_path / "ck"), language=None).default_language == "yue"
     assert build_recognizer("sensevoice-small", prompt="x").model_id and "does not support prompt" in capsys.readouterr().out
     for name in ("nope", "some/unknown"):
-        with pytest.raises(UnknownModelError):
+        with pytest.raises(UnknownRecognizer):
             build_recognizer(name)
     assert EchoRecognizer(device="shard").resolve_device_map() == "auto" and EchoRecognizer(device="cuda").resolve_device() == "cuda:0"
     with pytest.raises(RuntimeError):
         verify_loaded({"missing_keys": [f"{i}.weight" for i in range(11)]}, "m")
     verify_loaded({"missing_keys": ["a.weight"]}, "m")
 
+    class Model:
+        @classmethod
+        def from_pretrained(cls, model_id, output_loading_info=False):
+            return (cls(), {"missing_keys": [f"{i}.bias" for i in range(11)], "unexpected_keys": ["thinker.x"]}) if output_loading_info else cls()
+
+    with pytest.raises(RuntimeError, match="thinker.x"):
+        load_checked(Model, "m")
+
+
+def test_prompts_and_language():
+    asked = build_recognizer("qwen3-asr-0.6b", prompt="p", language="Cantonese").request(["a.wav"])
+    assert asked == {"audio": "a.wav", "language": "Cantonese", "prompt": "p"}
+    assert build_recognizer("whisper").options()["language"] == "yue"
+    assert "language" not in build_recognizer("whisper", language="").options()
+    assert build_recognizer("whisper").model_id == "openai/whisper-large-v3"
+
+
+def test_advice():
+    assert "--batch-size" in advice_for("CUDA Out of Memory") and "cuda:0" in advice_for("Expected ... but found at least two devices")
+    assert "manifest" in advice_for(FileNotFoundError("x")) and advice_for("something else") == ""
+
+
+def test_constraint_markers():
+    # the markers of white space have no script; Thai and Latin do
+    assert all(fits(x, "zh") for x in ("Ċ", "ĉ", "Ġ好", "▁好", "12", "!", b"\xe5\xa5\xbd"))
+    assert not fits("ok", "zh") and not fits("กา", "zh+en") and fits("Ġcafé", "en")
+
 
 def test_command_line(spark, tmp_path, capsys):
     refs = ["我好busy啊", "今日天氣好好", "我要去返工"]
