@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import re
 import tempfile
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -17,20 +20,23 @@ LOWER_TABLE = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
 _SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.frombuffer(LOWER_TABLE, np.uint8)
-_SCRATCH: dict[str, list[str]] = {}
-_TABLES: dict[str, list[str]] = {}
+#: By application: paths of scratch tables, with their names in the catalog where they have one.
+_SCRATCH: dict[str, list[tuple[str, str | None]]] = {}
+DATABASE = "glossmill_scratch"
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests, one machine) a temporary folder is set.
+    Where the session names none, a temporary folder is set if all tasks run in this process; on any other
+    master that is an error, since executors would each write to a disk of their own.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
-        named = f"file://{tempfile.mkdtemp(prefix='glossmill-')}"
-        sc.setCheckpointDir(named)
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='glossmill-')}")
         named = sc.getCheckpointDir()
     return named.rstrip("/")
 
@@ -38,7 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, remembered for :func:`drop_scratch`."""
     path = f"{shared_dir(spark)}/glossmill/{name}-{uuid.uuid4().hex}"
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append((path, None))
     return path
 
 
@@ -48,20 +54,63 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     path = scratch_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], sort: bool = False) -> DataFrame:
-    """``df`` as a bucketed table whose files are in the shared folder; a join on ``by`` does not shuffle it."""
-    table = f"{name}_{uuid.uuid4().hex}"
+    """``df`` as a bucketed table whose files are in the shared folder; a join on ``by`` does not shuffle it.
+
+    Spark knows buckets from its catalog only, so the table is in a database of its own until it is dropped.
+    """
+    spark = df.sparkSession
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+    table = f"{DATABASE}.{name}_{uuid.uuid4().hex}"
+    path = scratch_path(spark, name)
     writer = df.write.format("parquet").bucketBy(buckets, *by)
-    (writer.sortBy(*by) if sort else writer).option("path", scratch_path(df.sparkSession, name)).option("compression", "zstd").saveAsTable(table)
-    _TABLES.setdefault(df.sparkSession.sparkContext.applicationId, []).append(table)
-    return df.sparkSession.table(table)
+    (writer.sortBy(*by) if sort else writer).option("path", path).option("compression", "zstd").saveAsTable(table)
+    _SCRATCH[spark.sparkContext.applicationId][-1] = (path, table)
+    out = spark.table(table)
+    out._scratch = path
+    return out
+
+
+def drop_scratch(spark: SparkSession, *frames: DataFrame, since: int = 0) -> None:
+    """Delete scratch tables: those of ``frames``, or all of this application from the ``since``-th on.
+
+    Call it once all that reads them is written.
+    """
+    held = _SCRATCH.get(spark.sparkContext.applicationId, [])
+    named = {getattr(f, "_scratch", None) for f in frames}
+    gone = [x for i, x in enumerate(held) if (x[0] in named if frames else i >= since)]
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path, table in gone:
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+        held.remove((path, table))
+    if not any(table for _, table in held) and any(table for _, table in gone):
+        with contextlib.suppress(Exception):  # another session may have tables in it
+            spark.sql(f"DROP DATABASE IF EXISTS {DATABASE} RESTRICT")
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFrame]]:
+    """Drops at its end the scratch tables written within it, but for those of the frames appended to the list it gives."""
+    held = _SCRATCH.setdefault(spark.sparkContext.applicationId, [])
+    before, kept = {x[0] for x in held}, list(keep)
+    try:
+        yield kept
+    finally:
+        stay = before | {getattr(f, "_scratch", None) for f in kept}
+        for path, _ in [x for x in held if x[0] not in stay]:
+            drop_scratch(spark, types.SimpleNamespace(_scratch=path))
 
 
 def hash_sample(df: DataFrame, key: str, most: int, salt: str = "sample") -> DataFrame:
-    """All rows, or where there are over ``most``, the ones with the smallest hashes of ``key``: about ``most``, the same ones each time.
+    """All rows, or where there are over ``most``, those whose hash of ``key`` falls below the share of ``most`` in all: about ``most``, the same ones each time.
 
     A row is taken by its own hash alone, so there is no sort and no gathering in one task.
     """
@@ -71,16 +120,6 @@ def hash_sample(df: DataFrame, key: str, most: int, salt: str = "sample") -> Dat
     return df.where(F.pmod(F.xxhash64(key, F.lit(salt)), F.lit(1 << 40)) < int(most / n * (1 << 40)))
 
 
-def drop_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call it once their readers are written."""
-    for table in _TABLES.pop(spark.sparkContext.applicationId, []):
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _SCRATCH.pop(spark.sparkContext.applicationId, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
-
-
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

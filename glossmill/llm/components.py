@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import materialize
+from ._common import drop_scratch, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     now = materialize(edges.select("u", "v").where("u <> v").distinct(), "edges")
     mark = None
     for _ in range(most_rounds):
-        now = materialize(_small_star(_large_star(now)), "stars")
+        last, now = now, materialize(_small_star(_large_star(now)), "stars")
+        drop_scratch(now.sparkSession, last)
         row = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (row.n, row.h) == mark:
             break

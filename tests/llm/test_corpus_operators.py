@@ -335,6 +335,56 @@ def test_held_out_labels_are_not_used(spark):
     assert score(labels) == score(flipped)
 
 
+def test_toxicity_risk_and_slope_equal_plain_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    positive = rng.random(60) < 0.4
+
+    def plain(z, prior):
+        """Kiryo et al., equation 6, term by term."""
+        up, down = [float(np.log1p(np.exp(-x))) for x in z], [float(np.log1p(np.exp(x))) for x in z]
+        mean = lambda v, mark: sum(x for x, p in zip(v, positive) if p == mark) / int((positive == mark).sum())
+        negative = mean(down, False) - prior * mean(down, True)
+        return (prior * mean(up, True) + negative if negative >= 0 else -negative), negative
+
+    signs = set()
+    for gap, prior in ((3.0, 0.2), (3.0, 0.5), (-3.0, 0.5), (0.0, 0.3)):
+        z = rng.normal(np.where(positive, gap, -gap), 1.0)
+        value, slope = toxicity.risk(z, positive, prior)
+        want, negative = plain(z, prior)
+        signs.add(negative >= 0)
+        assert value == pytest.approx(want)
+        for i in range(0, 60, 7):
+            step = np.zeros(60)
+            step[i] = 1e-5
+            assert slope[i] == pytest.approx((plain(z + step, prior)[0] - plain(z - step, prior)[0]) / 2e-5, abs=1e-7)
+    assert signs == {True, False}  # with and without the correction
+
+
+def test_toxicity_learns_from_long_texts(spark):
+    # the confirmed texts are all over 100,000 characters: what tells them apart is found all the same
+    rows, labels = [], []
+    for d in range(180):
+        words = prose(d % 7, 16_000).split() if d % 3 == 0 else prose(d, 40).split()
+        if d % 3 == 0:
+            words[len(words) - 5] = "scoundrel"
+        rows.append((d, " ".join(words)))
+        labels.append((d, 1, int(d % 3 == 0)))
+    rows += [(1000, "a scoundrel by name " + prose(5000, 40)), (1001, "nobody by name " + prose(5000, 40))]
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(table(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).where("doc_id >= 1000").collect()}
+    assert got[1000] > got[1001]
+
+
+def test_toxicity_of_repeated_rows(spark):
+    rows, labels, _ = toxic_rows()
+    out = toxicity.score_toxicity(table(spark, rows + rows[:90]), spark.createDataFrame(labels + labels[:40] + [(0, 1, None)], "doc_id long, quality int, toxic int")).collect()
+    scores = defaultdict(set)
+    for r in out:
+        scores[r.doc_id].add(r.score)
+    assert len(out) == 990 and all(len(s) == 1 for s in scores.values())
+
+
 def test_toxicity_without_examples(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.predicted for r in toxicity.score_toxicity(table(spark, [(1, "a")]), none).collect()] == [0]
