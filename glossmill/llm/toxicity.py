@@ -109,21 +109,21 @@ def train(slots: np.ndarray, firsts: np.ndarray, n_slots: int, positive: np.ndar
     return w, bias
 
 
-def calibrate(z: np.ndarray, positive: np.ndarray, prior: float, threshold: float, cost: float = 1.5) -> tuple[float, float]:
+def calibrate(z: np.ndarray, positive: np.ndarray, prior: float, threshold: float, cost: float = 1.5, slack: float = 0.5) -> tuple[float, float]:
     """Slope and shift of margins, so that a score of ``threshold`` falls where the classes part.
 
-    The cut is the margin with the least corrected error: missed positives at their prior, plus unlabelled
-    texts above it beyond the positives' share, ``cost`` times.  The slope spreads the scores around it.
+    A cut's corrected error is its missed positives at their prior, plus the unlabelled texts above it beyond the positives'
+    share, ``cost`` times.  Of the cuts whose error is within ``slack`` standard errors (of a share of the unlabelled
+    texts) of the least, the one in the middle of the widest gap between margins is taken.  The slope spreads the scores around it.
     """
-    order = distinct(z)
-    cuts = (order[1:] + order[:-1]) / 2 if len(order) > 1 else order
-    cuts = cuts[np.linspace(0, len(cuts) - 1, min(2000, len(cuts))).astype(int)] if len(cuts) else np.zeros(1)
+    order = np.unique(np.round(z, 9))
+    cuts, gaps = ((order[1:] + order[:-1]) / 2, np.diff(order)) if len(order) > 1 else (np.zeros(1), np.ones(1))
     pos, rest = np.sort(z[positive]), np.sort(z[~positive])
     miss = np.searchsorted(pos, cuts) / max(1, len(pos))
     above = 1 - np.searchsorted(rest, cuts) / max(1, len(rest))
     error = prior * miss + cost * np.maximum(0.0, above - prior * (1 - miss))
-    near = cuts[error <= error.min() + 1e-12]
-    cut = float((near.min() + near.max()) / 2)
+    near = np.flatnonzero(error <= error.min() + slack * np.sqrt(prior * (1 - prior) / max(1, len(rest))))
+    cut = float(cuts[near[np.argmax(gaps[near])]])
     spread = max(float(np.median(pos) - cut) if len(pos) else 1.0, 1e-3)
     slope = 3.0 / spread
     return slope, float(np.log(threshold / (1 - threshold))) - slope * cut
