@@ -48,10 +48,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, name: str, partition_by: str | None = None, root: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there,
-    and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession, name)
+    and a lost executor costs no recomputation.  With a ``root`` the table is no scratch and stays there."""
+    path = f"{root}/{name}-{uuid.uuid4().hex}" if root else scratch_path(df.sparkSession, name)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
@@ -59,18 +59,30 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return out
 
 
-def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], sort: bool = False) -> DataFrame:
+def bucketed(df: DataFrame, name: str, buckets: int, by: list[str], sort: bool = False, root: str | None = None) -> DataFrame:
     """``df`` as a bucketed table whose files are in the shared folder; a join on ``by`` does not shuffle it.
 
     Spark knows buckets from its catalog only, so the table is in a database of its own until it is dropped.
+    With a ``root`` the files are no scratch and stay there.
     """
     spark = df.sparkSession
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
     table = f"{DATABASE}.{name}_{uuid.uuid4().hex}"
-    path = scratch_path(spark, name)
+    path = f"{root}/{table.rpartition('.')[2]}" if root else scratch_path(spark, name)
     writer = df.write.format("parquet").bucketBy(buckets, *by)
     (writer.sortBy(*by) if sort else writer).option("path", path).option("compression", "zstd").saveAsTable(table)
-    _SCRATCH[spark.sparkContext.applicationId][-1] = (path, table)
+    if not root:
+        _SCRATCH[spark.sparkContext.applicationId][-1] = (path, table)
+    out = spark.table(table)
+    out._scratch = path
+    return out
+
+
+def registered(spark: SparkSession, path: str, schema: str, buckets: int, by: list[str]) -> DataFrame:
+    """The files that :func:`bucketed` left at ``path`` in another session, known to this one's catalog."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {DATABASE}")
+    table, keys = f"{DATABASE}.{path.rpartition('/')[2]}", ", ".join(by)
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {buckets} BUCKETS LOCATION '{path}'")
     out = spark.table(table)
     out._scratch = path
     return out

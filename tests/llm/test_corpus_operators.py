@@ -204,6 +204,42 @@ def test_line_runs_hold_each_key_once_and_compact(spark):
     assert {(r.hi, r.lo): r.n_docs for r in runs.counts(2).collect()} == {k: n for k, n in total.items() if n >= 2}
 
 
+def test_line_runs_stay_between_calls(spark, tmp_path):
+    # one table in one call, and its parts one after the other with the index reopened each time
+    r = random.Random(31)
+    pool = [f"a shared line, the number of which is {i} " + "z" * 20 for i in range(8)]
+    rows = [(d, "\n".join(r.choice(pool) for _ in range(r.randint(1, 4)))) for d in range(60)]
+    root = f"file://{tmp_path}/index"
+    index = line_dedup.LineRuns(spark, 3, fanout=2, root=root)
+    for a in range(0, 60, 12):
+        part = line_dedup.dedup_lines(table(spark, rows[a : a + 12]), 40, 5, batches=1, index=index)
+        want = [x for x in brute_lines(rows[: a + 12], 40, 5) if a <= x[0] < a + 12]
+        assert sorted(((x.doc_id, x.kept_text, x.n_lines, x.n_dropped) for x in part.collect()), key=str) == want
+        for run in index.runs():  # as a new session finds it
+            spark.sql(f"DROP TABLE IF EXISTS glossmill_scratch.{run._scratch.rpartition('/')[2]}")
+        index = line_dedup.LineRuns.open(spark, root)
+        assert index.batches == a // 12 + 1 and all(len(level) < 2 for level in index.levels)
+
+
+def test_heavy_lines_are_sent_and_light_ones_joined(spark):
+    heavy, rows = "the one line that is in every document of them all", []
+    for d in range(60):
+        rows.append((d, f"{heavy}\n{'light line number ' + str(d % 10) + ' of the ten that there are'}\nown {d}"))
+    got = line_dedup.dedup_lines(table(spark, rows), 30, 5, broadcast_keys=3)
+    assert sorted(((x.doc_id, x.kept_text, x.n_lines, x.n_dropped) for x in got.collect()), key=str) == brute_lines(rows, 30, 5)
+
+
+def test_scratch_tables_are_dropped(spark):
+    from glossmill.llm import _common
+
+    before = len(_common._SCRATCH[spark.sparkContext.applicationId])
+    line_dedup.dedup_lines(table(spark, [(i, "x" * 50) for i in range(9)])).collect()
+    assert [p for p, _ in _common._SCRATCH[spark.sparkContext.applicationId][before:]] and len(_common._SCRATCH[spark.sparkContext.applicationId]) == before + 1
+    _common.drop_scratch(spark)
+    assert _common._SCRATCH[spark.sparkContext.applicationId] == []
+    assert not [t for t in spark.catalog.listTables("default") if not t.isTemporary]
+
+
 def test_lines_of_nothing(spark):
     assert line_dedup.dedup_lines(table(spark, [])).collect() == []
 
