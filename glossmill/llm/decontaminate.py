@@ -2,7 +2,8 @@
 
 For each length that a benchmark item has, a text is seen through all windows of that many
 words.  A window's SimHash is a difference of running sums over weighted shingle bits.
-Fingerprints are looked up in a multi-index: cut into blocks, every window within the
+Items are in buckets by their rarest shingles, one of which any similar window has.  In a bucket,
+fingerprints are looked up in a multi-index: cut into blocks, every window within the
 radius of an item agrees with it in some block to within radius // blocks bits, and
 the index lists the items under every such block value, so none within the radius is missed.
 Candidates are verified by the exact weighted-shingle similarity (weighted Jaccard).
@@ -63,61 +64,127 @@ def held_in(known: np.ndarray, s: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, s), len(known) - 1)] == s
 
 
-class _Group:
-    """The multi-index of the items of one length."""
+class Blocks:
+    """A multi-index: fingerprints by the values of their blocks, each listed under every value within radius // blocks bits."""
 
-    def __init__(self, index: ItemIndex, items: np.ndarray, sets: list[np.ndarray]):
-        self.items, self.prints, self.radius = items, index.prints[items], index.radius
-        self.known = np.unique(np.concatenate(sets))
-        near = [m for m in range(1 << BLOCK_BITS) if m.bit_count() <= self.radius // BLOCKS]
+    near: dict[int, np.ndarray] = {}
+
+    def __init__(self, prints: np.ndarray, radius: int):
+        self.prints, self.radius = prints, radius
+        flips = radius // BLOCKS
+        near = self.near.setdefault(flips, np.array([m for m in range(1 << BLOCK_BITS) if m.bit_count() <= flips]))
         self.table: list[tuple[np.ndarray, np.ndarray]] = []
         for b in range(BLOCKS):
-            block = (self.prints >> np.uint64(b * BLOCK_BITS)).astype(np.int64) & (1 << BLOCK_BITS) - 1
-            values = (block[:, None] ^ np.array(near)[None, :]).ravel()
+            block = (prints >> np.uint64(b * BLOCK_BITS)).astype(np.int64) & (1 << BLOCK_BITS) - 1
+            values = (block[:, None] ^ near[None, :]).ravel()
             order = np.argsort(values, kind="stable")
             self.table.append((np.searchsorted(values[order], np.arange((1 << BLOCK_BITS) + 1)), np.repeat(np.arange(len(block)), len(near))[order]))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, item) for all pairs within the radius."""
+        """(place in ``prints``, place in the index) of all pairs within the radius."""
         pairs = []
         for b, (starts, owner) in enumerate(self.table):
             block = (prints >> np.uint64(b * BLOCK_BITS)).astype(np.int64) & (1 << BLOCK_BITS) - 1
-            n = starts[block + 1] - starts[block]
-            window = np.repeat(np.arange(len(prints)), n)
-            at = np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts[block], n)
-            pairs.append(window * len(self.prints) + owner[at])
+            row, at = spread(starts[block], starts[block + 1])
+            pairs.append(row * len(self.prints) + owner[at])
         both = np.unique(np.concatenate(pairs))
-        window, item = both // len(self.prints), both % len(self.prints)
-        near = np.bitwise_count(prints[window] ^ self.prints[item]) <= self.radius
-        return window[near], self.items[item[near]]
+        row, own = both // len(self.prints), both % len(self.prints)
+        near = np.bitwise_count(prints[row] ^ self.prints[own]) <= self.radius
+        return row[near], own[near]
+
+
+def spread(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(range, place) of every place of the ranges from ``starts`` up to ``ends``."""
+    n = np.maximum(ends - starts, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
+
+
+class _Group:
+    """The items of one length, in buckets by their prefixes.
+
+    An item's prefix is its heaviest shingles, of over 1 - ``least`` of its weight together: a window without any of
+    them cannot be as similar as ``least``.  So a window is compared only with items in the buckets of shingles that it
+    has; a bucket of over ``page`` fingerprints is a multi-index, one of fewer is a single page of it that is read at once.
+    """
+
+    def __init__(self, index: ItemIndex, items: np.ndarray, page: int = 64):
+        self.items, self.prints, self.radius = items, index.prints[items], index.radius
+        own = [index.of(i) for i in items.tolist()]
+        self.known = np.unique(np.concatenate([v for v, _ in own]))
+        values, owners = [], []
+        for place, (v, n) in enumerate(own):
+            weight = index.weigh(v) * n
+            order = np.lexsort((v, -weight))
+            upto = np.cumsum(weight[order])
+            head = order[: int(np.searchsorted(upto, (1 - index.least + 1e-9) * upto[-1], side="right")) + 1]
+            values.append(v[head]), owners.append(np.full(len(head), place))
+        value, owner = np.concatenate(values), np.concatenate(owners)
+        order = np.argsort(value, kind="stable")
+        self.owner = owner[order]
+        self.prefixes, first = np.unique(value[order], return_index=True)
+        self.edges = np.append(first, len(value))
+        self.large = {k: Blocks(self.prints[self.owner[self.edges[k] : self.edges[k + 1]]], self.radius) for k in np.flatnonzero(np.diff(self.edges) > page).tolist()}
+        self.compared = 0
+
+    def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(window, item) for all pairs within the radius, whatever their shingles."""
+        window, own = Blocks(self.prints, self.radius).within(prints)
+        return window, self.items[own]
+
+    def candidates(self, s: np.ndarray, starts: np.ndarray, n: int, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``starts``, item) of all pairs within the radius that share a prefix shingle; windows are ``n`` shingles from each start."""
+        lo, hi = int(starts[0]), int(starts[-1]) + n
+        at = np.minimum(np.searchsorted(self.prefixes, s[lo:hi]), len(self.prefixes) - 1)
+        hit = np.flatnonzero(self.prefixes[at] == s[lo:hi])
+        # the buckets that each window's shingles name, each once
+        row, place = spread(np.searchsorted(hit, starts - lo), np.searchsorted(hit, starts - lo + n))
+        both = np.unique(row * len(self.prefixes) + at[hit[place]])
+        row, bucket = both // len(self.prefixes), both % len(self.prefixes)
+        big = np.isin(bucket, np.array(list(self.large), np.int64))
+        pair, member = spread(self.edges[bucket[~big]], self.edges[bucket[~big] + 1])
+        pairs = [row[~big][pair] * len(self.prints) + self.owner[member]]
+        for k in np.unique(bucket[big]).tolist():
+            windows = row[bucket == k]
+            near, own = self.large[k].within(prints[windows])
+            pairs.append(windows[near] * len(self.prints) + self.owner[self.edges[k] + own])
+        both = np.unique(np.concatenate(pairs))
+        self.compared += len(both)
+        row, own = both // len(self.prints), both % len(self.prints)
+        near = np.bitwise_count(prints[row] ^ self.prints[own]) <= self.radius
+        return row[near], self.items[own[near]]
 
 
 class ItemIndex:
-    """Items by shingle weights and by the blocks of their fingerprints."""
+    """Items by shingle weights, prefixes and the blocks of their fingerprints, in arrays."""
 
-    def __init__(self, items: list[tuple[int, str]], k: int, radius: int, totals: tuple[int, np.ndarray, np.ndarray] | None = None):
+    def __init__(self, items: list[tuple[int, str]], k: int, radius: int, totals: tuple[int, np.ndarray, np.ndarray] | None = None, least: float = 0.8):
         """``totals``: the number of all items with words, and the shingles (sorted) that several of them have with
         their numbers of items, where ``items`` are only a part of all."""
-        self.k, self.radius = k, radius
+        self.k, self.radius, self.least = k, radius, least
         data, offsets = text_buffer(pa.array([t for _, t in items], pa.large_string()))
         words, firsts = text_words(data, offsets)
         own = [words[a:b] for a, b in itertools.pairwise(firsts.tolist())]
         held = [i for i, w in enumerate(own) if len(w)]
         self.ids = [items[i][0] for i in held]
         self.lengths = np.array([len(own[i]) for i in held], np.int64)
-        sets = [shingles(own[i], k) for i in held]
-        self.known, df = np.unique(np.concatenate([np.unique(s) for s in sets]) if sets else np.zeros(0, np.uint64), return_counts=True)
-        n, self.weighed, df = totals or (len(sets), self.known, df)
+        bags = [np.unique(shingles(own[i], k), return_counts=True) for i in held]
+        self.values = np.concatenate([v for v, _ in bags]) if bags else np.zeros(0, np.uint64)
+        self.uses = np.concatenate([n for _, n in bags]) if bags else np.zeros(0, np.int64)
+        self.edges = np.concatenate([[0], np.cumsum([len(v) for v, _ in bags])]).astype(np.int64)
+        self.known, df = np.unique(self.values, return_counts=True)
+        n, self.weighed, df = totals or (len(bags), self.known, df)
         self.weights = np.log1p(n / df)
         self.other = float(np.log1p(n))  # of shingles that no item has, or one
-        self.counts: list[dict[int, int]] = []
-        prints = []
-        for s in sets:
-            values, n = np.unique(s, return_counts=True)
-            self.counts.append(dict(zip(values.tolist(), n.tolist())))
-            prints.append(pack((signs(s) * self.weigh(s)[:, None]).sum(0, keepdims=True))[0])
-        self.prints = np.array(prints, np.uint64)
-        self.groups = {n: _Group(self, np.flatnonzero(self.lengths == n), [sets[i] for i in np.flatnonzero(self.lengths == n)]) for n in np.unique(self.lengths).tolist()}
+        weights = self.weigh(self.values) * self.uses
+        self.sums = np.add.reduceat(weights, self.edges[:-1]) if len(bags) else np.zeros(0)
+        self.prints = np.array([pack((signs(v) * weights[a : a + len(v), None]).sum(0, keepdims=True))[0] for (v, _), a in zip(bags, self.edges.tolist())], np.uint64)
+        self.groups = {n: _Group(self, np.flatnonzero(self.lengths == n)) for n in np.unique(self.lengths).tolist()}
+
+    def of(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct shingles of an item, sorted, and how often it has them."""
+        own = slice(self.edges[item], self.edges[item + 1])
+        return self.values[own], self.uses[own]
 
     def weigh(self, s: np.ndarray) -> np.ndarray:
         if len(self.weighed) == 0:
@@ -132,15 +199,16 @@ class ItemIndex:
         """Weighted Jaccard of a window's shingles and an item's, repeats counted."""
         values, n = np.unique(s, return_counts=True)
         w = self.weigh(values)
-        own = self.counts[item]
-        both = np.array([own.get(v, 0) for v in values.tolist()])
-        inner = float((w * np.minimum(n, both)).sum())
-        keys = np.array(list(own), np.uint64)
-        whole = float((w * n).sum()) + float((self.weigh(keys) * np.array(list(own.values()))).sum()) - inner
+        own, uses = self.of(item)
+        at = np.minimum(np.searchsorted(own, values), len(own) - 1)
+        inner = float((w * np.minimum(n, np.where(own[at] == values, uses[at], 0))).sum())
+        whole = float((w * n).sum()) + float(self.sums[item]) - inner
         return inner / whole if whole else 0.0
 
     def match(self, words: np.ndarray, least: float, block: int = 20_000) -> dict[int, tuple[float, int]]:
         """For each item found in a text's words: the best similarity and the first word of its first best window."""
+        if least < self.least:
+            raise ValueError(f"the prefixes are for similarities from {self.least} up")
         best: dict[int, tuple[float, int]] = {}
         if len(words) == 0 or len(self.ids) == 0:
             return best
@@ -169,9 +237,9 @@ class ItemIndex:
                 held = np.concatenate([[0.0], np.cumsum(np.where(hit, w, 0.0))])
                 starts = np.flatnonzero(held[n:] - held[:-n] >= (least - 1e-9) * (whole[n:] - whole[:-n]))
                 starts = starts[starts < block]
-                for a in range(0, len(starts), 4096):
-                    some = starts[a : a + 4096]
-                    window, item = group.within(pack(sums[some + n] - sums[some]))
+                for a in range(0, len(starts), 1024):
+                    some = starts[a : a + 1024]
+                    window, item = group.candidates(s, some, n, pack(sums[some + n] - sums[some]))
                     for at, i in zip(some[window].tolist(), item.tolist()):
                         sim = self.similarity(s[at : at + n], i)
                         if sim >= least and sim > best.get(i, (0.0, 0))[0]:
@@ -249,7 +317,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, radius: int
     out = None
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect() if parts > 1 else items.collect()
-        sent = spark.sparkContext.broadcast(ItemIndex(sorted((r.item_id, r.text) for r in own), k, radius, totals))
+        sent = spark.sparkContext.broadcast(ItemIndex(sorted((r.item_id, r.text) for r in own), k, radius, totals, least))
         found = slim.mapInArrow(lambda it, sent=sent: _match_rows(lambda: sent.value, least)(it), schema)
         out = found if out is None else out.unionByName(found)
     return out

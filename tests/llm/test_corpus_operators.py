@@ -336,6 +336,37 @@ def test_multi_index_misses_none_within_the_radius():
     assert set(zip(window.tolist(), item.tolist())) == brute
 
 
+def test_prefix_buckets_lose_no_similar_pair():
+    import numpy as np
+
+    # items that share much; windows near and far; small pages, so that buckets are multi-indexes, and large ones
+    items = []
+    for i in range(90):
+        own = prose(70 + i // 3, 40).split()
+        if i % 3:
+            own[(2, 37)[i % 3 - 1]] = f"x{i}"
+        items.append((i, " ".join(own)))
+    index = decontaminate.ItemIndex(items, 5, 64)
+    words = lambda t: decontaminate.text_words(*decontaminate.text_buffer(decontaminate.pa.array([t], "large_string")))[0]
+    r, text = random.Random(8), []
+    for i in range(0, 90, 3):
+        own = items[i][1].split()
+        for _ in range(r.randint(0, 3)):
+            own[r.randrange(40)] = f"y{r.random()}"
+        text += own + prose(400 + i, 9).split()
+    s = decontaminate.shingles(words(" ".join(text)), 5)
+    n = 36
+    brute = {(a, i) for a in range(len(s) - n + 1) for i in range(90) if index.similarity(s[a : a + n], i) >= 0.8}
+    assert len(brute) > 20
+    starts = np.arange(len(s) - n + 1)
+    prints = np.array([decontaminate.pack((decontaminate.signs(s[a : a + n]) * index.weigh(s[a : a + n])[:, None]).sum(0, keepdims=True))[0] for a in starts], np.uint64)
+    for page in (1, 64):
+        group = decontaminate._Group(index, np.arange(90), page)
+        row, item = group.candidates(s, starts, n, prints)
+        assert brute <= set(zip(starts[row].tolist(), item.tolist())) and bool(group.large) == (page == 1)
+        assert group.compared < 0.25 * len(starts) * 90
+
+
 def toxic_rows():
     import zlib
 
