@@ -16,7 +16,7 @@ from .quality import judge
 from .simhash_dedup import near_duplicates
 from .token_counts import count_tokens
 from .toxicity import score_toxicity
-from .url_rules import ALLOW, BLOCK, filter_urls
+from .url_rules import ALLOW, BLOCK, filter_urls, path_of
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -54,11 +54,18 @@ def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 URL_RULES = [(ALLOW, "com/"), (BLOCK, "example.com/en/"), (ALLOW, "www.example.com/en/"), (BLOCK, "net/es/"), (BLOCK, "net/fr/")]
 
 
-def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The verdict on every url; labels of low quality or toxicity, by page_id, are what is mined."""
+def page_labels(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """page_id and bad of the pages whose document is labelled: a page's path ends with the number of the document that it shows."""
+    number = F.regexp_extract(path_of(F.col("url").cast("string")), r"/([0-9]{1,18})(?:[.][A-Za-z0-9]+)?/?$", 1)
+    shown = pages.select("page_id", F.when(number != "", number).cast("long").alias("doc_id")).where("doc_id is not null")
     bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
-    return filter_urls(read(spark, sf_dir, "pages"), labels, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return shown.join(labels.select("doc_id", bad.alias("bad")), "doc_id").select("page_id", "bad")
+
+
+def op5_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every url; what is mined are pages that show a document of low quality, or a toxic one."""
+    pages = read(spark, sf_dir, "pages")
+    return filter_urls(pages, page_labels(pages, read(spark, sf_dir, "labels")), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

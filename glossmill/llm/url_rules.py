@@ -1,9 +1,8 @@
 """URL filters by association rules.
 
 URLs are sets of tokens (labels of the host, directories of the path, shape of the last
-segment and of the query).  Spark's FP-growth mines token combinations from the labelled pages, each
-of which carries an outcome token too; combinations whose confidence for the outcome
-"block", support and lift are high enough become rules, and rules that a more general
+segment and of the query).  Spark's FP-growth mines token combinations from the pages labelled bad; those
+whose support, confidence and lift are high enough become rules, and rules that a more general
 one makes needless are pruned.  An inverted index matches them: rules hang on their
 rarest token, so a URL looks only at the rules of its own tokens.
 
@@ -12,6 +11,7 @@ Fixed host and path rules come first: the longest that fits decides.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
@@ -20,10 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import hash_sample
+from ._common import hash_sample, materialize, scratch_scope
 
 ALLOW, BLOCK = "allow", "block"
-OUTCOME = "=block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -70,20 +69,44 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(*parts)), lambda x: F.length(x) > 2)
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, min_lift: float, most_tokens: int) -> list[tuple[tuple[str, ...], float]]:
-    """Token combinations for block with their confidences, the shortest and surest first.
+def combinations(labelled: DataFrame, min_count: int) -> DataFrame:
+    """items, bad, n, confidence and lift of the token combinations that at least ``min_count`` bad rows of ``labelled`` have.
 
-    ``labelled``: tokens (an array) and bad (boolean).
+    ``labelled``: row (an id), tokens, bad.  Of tokens that are in the very same rows (a host and its labels, say) one stands for
+    all, the shortest; such sets would double the combinations with each.  FP-growth runs over the bad rows
+    alone, since a combination must be frequent there; the rows of either outcome that have it are counted by a join
+    on its rarest token.
     """
-    items = labelled.select(F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(OUTCOME)))).otherwise(F.col("tokens")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == OUTCOME) & (F.col("lift") >= min_lift) & (F.size("antecedent") <= most_tokens))
-    found = sorted(((tuple(sorted(r.antecedent)), float(r.confidence)) for r in rules.collect()), key=lambda r: (len(r[0]), -r[1], r[0]))  # bounded by the support: 1 / min_support tokens at a time
-    kept: list[tuple[tuple[str, ...], float]] = []
+    said = labelled.select("row", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("rows"))
+    tokens = said.where(F.col("bad") >= min_count).groupBy("n", "rows").agg(F.min(F.struct(F.length("token").alias("l"), "token")).alias("t")).select(F.col("t.token").alias("token"), "n")
+    tokens = materialize(tokens, "tokens")
+    slim = labelled.select("row", "bad", F.explode("tokens").alias("token")).join(tokens.select("token"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items"))
+    slim = materialize(slim, "items")
+    bad = slim.where("bad")
+    n_bad = bad.count()
+    if n_bad < min_count:
+        return labelled.sparkSession.createDataFrame([], "items array<string>, bad long, n long, confidence double, lift double")
+    sets = FPGrowth(itemsCol="items", minSupport=min_count / n_bad).fit(bad.select("items")).freqItemsets
+    sets = materialize(sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("bad")), "sets")
+    rarest = sets.select("items", F.explode("items").alias("token")).join(tokens, "token").groupBy("items").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    found = slim.select(F.col("items").alias("own"), F.explode("items").alias("token")).join(rarest, "token").where(F.size(F.array_except("items", "own")) == 0)
+    counted = found.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
+    rate = labelled.agg(F.avg(F.col("bad").cast("double")).alias("rate")).first().rate
+    out = sets.join(counted, "items").withColumn("confidence", F.col("bad") / F.col("n"))
+    return out.withColumn("lift", F.col("confidence") / rate)
+
+
+def prune(rules: DataFrame) -> list[tuple[tuple[str, ...], float]]:
+    """Rules and their confidences, the shortest and surest first, without those that a part of theirs makes needless."""
+    found = sorted(((tuple(r["items"]), float(r.confidence)) for r in rules.toLocalIterator()), key=lambda r: (len(r[0]), -r[1], r[0]))
+    kept: dict[tuple[str, ...], float] = {}
+    by_token: dict[str, list[tuple[str, ...]]] = {}
     for tokens, confidence in found:
-        if not any(set(t) <= set(tokens) and c >= confidence for t, c in kept):
-            kept.append((tokens, confidence))
-    return kept
+        parts = (t for token in tokens for t in by_token.get(token, ()))
+        if not any(kept[t] >= confidence and set(t) <= set(tokens) for t in parts):
+            kept[tokens] = confidence
+            by_token.setdefault(tokens[0], []).append(tokens)
+    return list(kept.items())
 
 
 def invert(rules: Sequence[tuple[tuple[str, ...], float]]) -> dict[str, list[tuple[frozenset, float]]]:
@@ -99,49 +122,61 @@ def invert(rules: Sequence[tuple[tuple[str, ...], float]]) -> dict[str, list[tup
 
 
 def _match(index):
+    """The surest rule that fits each row's tokens, or the confidence that the row brings along."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = index()
         for batch in batches:
             out = []
-            for tokens in batch.column(1).to_pylist():
+            for tokens, best in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 own = set(tokens)
-                best = 0.0
                 for t in tokens:
                     for need, confidence in table.get(t, ()):
                         if confidence > best and need <= own:
                             best = confidence
                 out.append(best)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["row", "confidence"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], ["row", "tokens", "confidence"])
 
     return rows
 
 
-def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]], min_support: float = 0.002, min_count: int = 8, min_confidence: float = 0.6, min_lift: float = 2.0, most_tokens: int = 3, max_labelled: int = 200_000) -> DataFrame:
+def labelled_tokens(parts: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """row, tokens and bad of the labelled pages, or of about ``max_labelled`` of them by the hash of page_id."""
+    known = parts.join(labels.where("bad is not null").select("page_id", "bad"), "page_id")
+    # ids are fixed when the table is written
+    return hash_sample(known.select("page_id", "tokens", "bad"), "page_id", max_labelled).select(F.monotonically_increasing_id().alias("row"), "tokens", "bad")
+
+
+def tokenized(pages: DataFrame) -> DataFrame:
+    """page_id, url, host, path and tokens."""
+    url = F.col("url").cast("string")
+    parts = pages.select("page_id", url.alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    return parts.withColumn("tokens", url_tokens(F.col("host"), F.col("path"), F.col("url")))
+
+
+def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str, str]], min_support: float = 0.002, min_count: int = 8, min_confidence: float = 0.6, min_lift: float = 2.0, max_labelled: int = 200_000, max_rules: int = 50_000) -> DataFrame:
     """page_id, host, path, rule and verdict, with confidence (of the best mined rule), one row for each row of ``pages``.
 
     ``pages``: page_id, url; ``labels``: page_id, bad (boolean); other columns are ignored.  Mining uses the labelled pages,
-    or about ``max_labelled`` of them by the hash of page_id, and a combination must be in
-    ``min_support`` of them and in ``min_count``; every url is judged.  A url that no
+    or about ``max_labelled`` of them by the hash of page_id, and a combination, of any number of tokens, must be in as many bad ones as
+    ``min_support`` of all and ``min_count`` make; every url is judged.  A url that no
     fixed rule fits is blocked if a mined rule matches it, else allowed.
 
     A null url, and one without ://, has an empty host and path, no rule and the verdict allow unless mined rules say otherwise.
-    Rows that share a page_id are each judged; contradicting labels count once each.  Empty tables: nothing
-    is mined, an empty result.
+    Rows that share a page_id are each judged; contradicting labels count once each, repeated rows each time.  Empty tables: nothing
+    is mined, an empty result.  Mined rules go to the tasks in parts of ``max_rules``, one after the other.
     """
-    url = F.col("url").cast("string")
-    parts = pages.select("page_id", url.alias("url")).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    parts = parts.withColumn("tokens", url_tokens(F.col("host"), F.col("path"), F.col("url")))
-    known = parts.join(labels.where("bad is not null").select("page_id", "bad"), "page_id").select("page_id", "tokens", "bad")
-    known = hash_sample(known, "page_id", max_labelled).cache()
-    try:
-        n = known.count()
-        support = max(min_support, min_count / n) if n else 2.0
-        mined = mine(known, support, min_confidence, min_lift, most_tokens) if support <= 1 else []
-    finally:
-        known.unpersist()
-    sent = pages.sparkSession.sparkContext.broadcast(invert(mined))  # bounded by the support, not by the pages
-    packed = parts.select(F.struct("page_id", "host", "path", fixed_rule(F.col("host"), F.col("path"), rules).alias("rule")).alias("row"), "tokens")
-    out = packed.mapInArrow(lambda it: _match(lambda: sent.value)(it), T.StructType([packed.schema["row"], T.StructField("confidence", T.DoubleType())]))
+    spark = pages.sparkSession
+    parts = tokenized(pages)
+    with scratch_scope(spark):
+        known = materialize(labelled_tokens(parts, labels, max_labelled), "labelled")
+        least = max(min_count, math.ceil(min_support * known.count()))
+        mined = prune(combinations(known, least).where((F.col("confidence") >= min_confidence) & (F.col("lift") >= min_lift)))
+    row = F.struct("page_id", "host", "path", fixed_rule(F.col("host"), F.col("path"), rules).alias("rule")).alias("row")
+    out = parts.select(row, "tokens", F.lit(0.0).alias("confidence"))
+    for a in range(0, len(mined), max_rules):
+        sent = spark.sparkContext.broadcast(invert(mined[a : a + max_rules]))
+        out = out.mapInArrow(lambda it, sent=sent: _match(lambda: sent.value)(it), T.StructType([out.schema["row"], out.schema["tokens"], T.StructField("confidence", T.DoubleType())]))
     verdicts = F.create_map(*[F.lit(x) for verdict, rule in rules for x in (rule, verdict)])
     verdict = F.when(F.col("row.rule").isNotNull(), F.element_at(verdicts, F.col("row.rule"))).when(F.col("confidence") > 0, BLOCK).otherwise(ALLOW)
     return out.select("row.*", verdict.alias("verdict"), "confidence")

@@ -164,6 +164,56 @@ def test_mined_rules_block(spark):
     assert all((v == "block") == (i % 4 == 0) for i, v in got.items())
 
 
+def mined_by_brute_force(rows, least, confidence, lift):
+    """Every combination of tokens, whatever its size, and the rules without a part as sure."""
+    import itertools
+
+    rate = sum(b for _, b in rows) / len(rows)
+    held = Counter(c for t, b in rows for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n))
+    bad = Counter(c for t, b in rows if b for n in range(1, len(t) + 1) for c in itertools.combinations(sorted(t), n))
+    rules = {c: bad[c] / held[c] for c in bad if bad[c] >= least and bad[c] / held[c] >= confidence and bad[c] / held[c] / rate >= lift}
+    return rules, held, bad
+
+
+def test_mining_equals_brute_force(spark):
+    import random
+
+    r = random.Random(3)
+    rows = []
+    for i in range(300):
+        own = {x for x in "abcdef" if r.random() < 0.4} | ({"x", "y1", "z"} if r.random() < 0.3 else set())
+        rows.append((own, {"a", "b"} <= own or ("x" in own and r.random() < 0.5) or r.random() < 0.05))
+    rules, held, bad = mined_by_brute_force(rows, 8, 0.6, 1.5)
+    df = spark.createDataFrame([(i, sorted(t), b) for i, (t, b) in enumerate(rows)], "row long, tokens array<string>, bad boolean")
+    got = url_rules.combinations(df, 8)
+    found = {tuple(x["items"]): (x.bad, x.n) for x in got.collect()}
+    # of x, y1 and z, which always go together, the first shortest stands for all
+    want = {c: (bad[c], held[c]) for c in bad if bad[c] >= 8 and not {"y1", "z"} & set(c)}
+    assert found == want
+    mined = url_rules.prune(got.where("confidence >= 0.6 and lift >= 1.5"))
+    assert (("a", "b"), 1.0) in [(t, round(c, 9)) for t, c in mined] and all(not (set(a) < set(b) and ca >= cb) for a, ca in mined for b, cb in mined)
+    fires = lambda t, known: max((c for k, c in known if set(k) <= t), default=0.0)
+    assert all(fires(t, mined) == pytest.approx(fires(t, [(k, c) for k, c in rules.items()])) for t, _ in rows)
+
+
+@pytest.mark.parametrize("max_rules", [1, 1000])
+def test_verdicts_of_repeated_and_contradicting_rows(spark, max_rules):
+    urls = [f"http://{'bad' if i % 4 == 1 else 'good'}{i % 3}.org/{'a' if i % 3 else 'b'}/{i}" for i in range(120)]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)] + [(1, urls[1]), (None, urls[1]), (None, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 4 == 1) for i in range(120)] + [(0, True), (0, None), (None, True)], "page_id long, bad boolean")
+    got = url_rules.filter_urls(pages, labels, RULES, max_rules=max_rules).collect()
+    assert len(got) == 123
+    assert all((x.verdict == "block") == x.host.startswith("bad") for x in got)
+
+
+def test_labels_come_from_the_document_that_a_page_shows(spark):
+    from glossmill.llm.queries import page_labels
+
+    pages = spark.createDataFrame([(1, "http://a.com/en/7.html"), (2, "http://a.com/en/8/?page=9"), (3, "http://a.com/en/x"), (4, None), (5, "https://a.com/de/7#top"), (6, "http://a.com/en/12x")], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 0, 0), (8, 1, 0), (9, 0, 1), (12, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {(r.page_id, r.bad) for r in page_labels(pages, labels).collect()} == {(1, True), (2, False), (5, True)}
+
+
 def test_inverted_index_finds_what_a_scan_finds():
     rules = [(("a", "b"), 0.9), (("c",), 0.7), (("a", "d"), 0.8)]
     index = url_rules.invert(rules)
