@@ -7,10 +7,10 @@ Two transducers are compiled from a byte-level BPE file.
   and cut into chunks of equal length; a chunk is a map from every entry state to an
   exit state, the maps compose through a parallel prefix scan, and with each
   chunk's entry state known all chunks emit at once.
-* The *lexicon* runs over a pretoken's bytes.  Its states pair an Aho-Corasick state of
-  the vocabulary with the last tokens of the prefixes read so far; reading a byte emits
-  the tokens that the prefix's encoding has.  A prefix's last token is the one token
-  that ends there and may follow the last token of the prefix before it, which is decided
+* The *lexicon* runs over a pretoken's bytes, from its start state at each beginning that the
+  scan has found.  Its transitions are annotated with emitted-token counts, which add up to the
+  pretoken's tokens, and the sums of pretokens, scanned, to those of texts.  A prefix's last token is the one
+  token that ends there and may follow the last token of the prefix before it, which is decided
   by merge ranks alone (and remembered).
 """
 
@@ -138,9 +138,18 @@ def byte_alphabet() -> dict[str, int]:
 
 
 class Lexicon:
-    """Counts the BPE tokens of one pretoken's bytes."""
+    """A deterministic transducer over a pretoken's bytes, whose transitions are annotated with emitted-token counts.
 
-    def __init__(self, merges: list[tuple[bytes, bytes]]):
+    A state is an Aho-Corasick state of the vocabulary together with, for each of the last prefixes that a token
+    ending later can still begin after, the last token of its encoding and the number of its tokens, relative to
+    the present prefix.  That is all that the next byte's transition depends on, so the states are finitely many; they are
+    compiled as texts reach them, and a transition's annotation is by how many tokens the longer prefix's encoding is longer
+    (or shorter: merges take tokens back).  The sum over a pretoken's transitions is its number of tokens.
+    """
+
+    START, OFFSET = 0, 1 << 15
+
+    def __init__(self, merges: list[tuple[bytes, bytes]], most_states: int = 250_000):
         self.ids: dict[bytes, int] = {bytes([b]): b for b in range(256)}
         self.parts: list[tuple[int, int]] = [(b, b) for b in range(256)]
         self.pairs: dict[tuple[int, int], int] = {}
@@ -150,7 +159,15 @@ class Lexicon:
             self.ids.setdefault(left + right, len(self.parts))
             self.parts.append(pair)
         self.follows: dict[int, bool] = {}
+        self.most_states = most_states
         self._compile()
+        self._forget()
+
+    def _forget(self) -> None:
+        start = (0, (-1,), (0,))
+        self.states: list[tuple[int, tuple[int, ...], tuple[int, ...]]] = [start]
+        self.numbers: dict[tuple, int] = {start: 0}
+        self.steps: dict[int, int] = {}
 
     def _compile(self) -> None:
         """Aho-Corasick over the vocabulary: by state, transitions and the tokens that end there, longest first."""
@@ -177,7 +194,14 @@ class Lexicon:
                     back = fail[back]
                 fail[nxt] = goto[back][b] if goto[back].get(b, nxt) != nxt else 0
                 todo.append(nxt)
-        self.goto, self.ends, self.fail = goto, ends, fail
+        depth = [0] * len(goto)
+        todo = deque([0])
+        while todo:
+            at = todo.popleft()
+            for nxt in goto[at].values():
+                depth[nxt] = depth[at] + 1
+                todo.append(nxt)
+        self.goto, self.ends, self.fail, self.depth = goto, ends, fail, depth
 
     def _adjacent(self, left: int, right: int) -> bool:
         """Whether BPE leaves ``left`` and ``right`` side by side.
@@ -203,32 +227,41 @@ class Lexicon:
                     continue
                 bound, right = right + 1, self.parts[right][0]
 
+    def _may_follow(self, before: int, token: int) -> bool:
+        key = before << 32 | token
+        ok = self.follows.get(key)
+        if ok is None:
+            if len(self.follows) > 2_000_000:
+                self.follows.clear()
+            ok = self.follows[key] = self._adjacent(before, token)
+        return ok
+
+    def _transition(self, state: int, byte: int) -> int:
+        """Compiles one transition: the next state's number and the annotation, in one integer."""
+        at, lasts, counts = self.states[state]
+        while (nxt := self.goto[at].get(byte)) is None:
+            at = self.fail[at]
+        token, length = next((t, n) for t, n in self.ends[nxt] if lasts[n - 1] < 0 or self._may_follow(lasts[n - 1], t))
+        emitted = counts[length - 1] + 1
+        far = self.depth[nxt]
+        to = (nxt, (token, *lasts[:far]), (0, *(c - emitted for c in counts[:far])))
+        number = self.numbers.setdefault(to, len(self.states))
+        if number == len(self.states):
+            self.states.append(to)
+        step = self.steps[state << 8 | byte] = number << 16 | emitted + self.OFFSET
+        return step
+
     def count(self, word: bytes) -> int:
-        goto, ends, fail, follows = self.goto, self.ends, self.fail, self.follows
-        last, counts, state = [-1], [0], 0
-        for i, b in enumerate(word, 1):
-            while (nxt := goto[state].get(b)) is None:
-                state = fail[state]
-            state = nxt
-            for token, length in ends[state]:
-                before = last[i - length]
-                if before >= 0:
-                    key = before << 32 | token
-                    ok = follows.get(key)
-                    if ok is None:
-                        if len(follows) > 2_000_000:
-                            follows.clear()
-                        ok = follows[key] = self._adjacent(before, token)
-                    if not ok:
-                        continue
-                elif i != length:
-                    continue
-                last.append(token)
-                counts.append(counts[i - length] + 1)
-                break
-            else:
-                raise AssertionError("no token ends here")
-        return counts[-1]
+        """The number of tokens: the sum of the annotations on the way from the start."""
+        if len(self.states) > self.most_states:
+            self._forget()
+        steps, state, total = self.steps, self.START, 0
+        for byte in word:
+            step = steps.get(state << 8 | byte)
+            if step is None:
+                step = self._transition(state, byte)
+            state, total = step >> 16, total + (step & 0xFFFF)
+        return total - self.OFFSET * len(word)
 
 
 class Counter:

@@ -114,6 +114,50 @@ def test_token_counts_equal_the_library(spark):
     assert token_counts.count_tokens(spark.createDataFrame([], TABLE), path, 1).collect() == []
 
 
+def test_every_code_point_counts_as_in_the_library():
+    tokenizers = pytest.importorskip("tokenizers")
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("byte_bpe_50k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), token_counts.Counter(path)
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    # each one before and after letters, numbers, spaces, itself and other signs
+    texts = ["".join(f"a{chr(c)}b {chr(c)}{chr(c)}1{chr(c)} 2.{chr(c)}\n" for c in codes[i : i + 64]) for i in range(0, len(codes), 64)]
+    want = [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert [i for i, (a, b) in enumerate(zip(own(texts), want)) if a != b] == []
+
+
+def test_lexicon_annotations_add_up_to_plain_bpe():
+    import random
+
+    # a small vocabulary of overlapping merges, each of tokens that stand side by side until then, as training makes them
+    r = random.Random(6)
+    merges = []
+
+    def plain(word):
+        """Merging by rank."""
+        parts = [bytes([b]) for b in word]
+        rank = {p: i for i, p in enumerate(merges)}
+        while found := [rank[p] for p in zip(parts, parts[1:]) if p in rank]:
+            pair, out, i = merges[min(found)], [], 0
+            while i < len(parts):
+                whole = tuple(parts[i : i + 2]) == pair
+                out.append(b"".join(parts[i : i + 2]) if whole else parts[i])
+                i += 1 + whole
+            parts = out
+        return parts
+
+    while len(merges) < 60:
+        parts = plain(bytes(r.choice(b"abc") for _ in range(30)))
+        i = r.randrange(len(parts) - 1)
+        if len(parts[i] + parts[i + 1]) <= 9 and len(plain(parts[i] + parts[i + 1])) == 2 and parts[i] + parts[i + 1] not in [a + b for a, b in merges]:
+            merges.append((parts[i], parts[i + 1]))
+    for most in (50, 10**6):
+        lexicon = token_counts.Lexicon(merges, most)
+        for _ in range(1500):
+            word = bytes(r.choice(b"abc") for _ in range(r.randint(1, 40)))
+            assert lexicon.count(word) == len(plain(word))
+
+
 def test_chunk_maps_compose_to_the_sequential_run():
     import numpy as np
 
