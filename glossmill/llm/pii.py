@@ -4,7 +4,8 @@ Regex, gazetteer and context labelers vote on candidate spans.  The votes of the
 corpus are aggregated to counts of vote patterns (a bounded table: kinds times three
 votes to the number of labelers), expectation-maximisation on those counts
 estimates each labeler's reliability, and its posteriors train the final span
-classifier, a logistic regression whose weights go back into the plan as an expression.
+classifier: a logistic regression on the spans themselves (length, character classes, entropy, the words around),
+trained on sums of posteriors by feature values (a bounded table again), whose weights go back into the plan as an expression.
 
 The base kinds (email, ip, card, phone) have exact patterns and always stay; the classifier
 decides on the further candidates: secrets, other long numbers, and names.
@@ -13,13 +14,15 @@ decides on the further candidates: secrets, other long numbers, and names.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import re
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize
+from .quality import let
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("secret", "number", "name")
@@ -35,11 +38,13 @@ _PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: The gazetteers.
-GIVEN_NAMES = "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Anna Maria Peter Hans Klaus Petra Sabine Jean Pierre Marie Claire Sophie Carlos Juan Ana Carmen Lucia Miguel".split()
-TITLES = "Mr Mrs Ms Dr Prof Herr Frau Madame Monsieur Sr Sra".split()
-KEY_PREFIXES = "AKIA ghp_ gho_ xoxb- xoxp- sk- pk- AIza eyJ".split()
-TOP_DOMAINS = "com org net edu gov io de fr es uk eu".split()
+#: The built-in gazetteers; :func:`find_spans` takes others.
+GAZETTEERS = {
+    "names": "James Mary John Patricia Robert Jennifer Michael Linda David Elizabeth William Barbara Richard Susan Joseph Jessica Thomas Sarah Anna Maria Peter Hans Klaus Petra Sabine Jean Pierre Marie Claire Sophie Carlos Juan Ana Carmen Lucia Miguel".split(),
+    "titles": "Mr Mrs Ms Dr Prof Herr Frau Madame Monsieur Sr Sra".split(),
+    "key_prefixes": "AKIA ghp_ gho_ xoxb- xoxp- sk- pk- AIza eyJ".split(),
+    "domains": "com org net edu gov io de fr es uk eu".split(),
+}
 #: Words of the context labelers.
 FOR_CUES = {
     "email": "e-?mail|contact|write to|mailto",
@@ -52,11 +57,22 @@ FOR_CUES = {
 }
 AGAINST_CUES = "version|vol|page|chapter|section|figure|no|isbn|year|commit|sha|md5|checksum"
 
-_CANDIDATES = {
-    "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
-    "number": r"(?<![\p{L}0-9.+-])(?<![0-9][ -])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}+(?![ ().-]{0,2}[0-9])(?!\p{L})",
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? |(?:{'|'.join(GIVEN_NAMES)})\b ?)\p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?+",
-}
+def _any(terms: Sequence[str]) -> str:
+    return "|".join(re.escape(t) for t in terms) or r"(?!)"
+
+
+def candidate_patterns(gazetteers: Mapping[str, Sequence[str]]) -> dict[str, str]:
+    return {
+        "secret": r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])(?=[0-9_+/=-]*+[A-Za-z])[A-Za-z0-9_+/=-]{16,}+",
+        "number": r"(?<![\p{L}0-9.+-])(?<![0-9][ -])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,18}+(?![ ().-]{0,2}[0-9])(?!\p{L})",
+        "name": rf"(?<!\p{{L}})(?:(?:{_any(gazetteers['titles'])})\.? |(?:{_any(gazetteers['names'])})\b ?)\p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?+",
+    }
+
+
+#: Matches that are placed together.
+CHUNK = 256
+#: Kinds whose candidates are alike, and of which labelers are right or wrong alike.
+FAMILY = {k: "digits" if k in ("card", "number") else k for k in KINDS}
 LABELERS = ("shape", "checksum", "gazetteer", "cue", "edges", "against")
 
 
@@ -72,9 +88,17 @@ def _found(text: Column, kind: str, pattern: str, worth: Column) -> Column:
         row = F.struct(F.lit(kind).alias("kind"), s.alias("s"), e.alias("e"), x["word"].alias("word"), F.right(x["before"], F.lit(24)).alias("before"), F.left(x["after"], F.lit(4)).alias("after"))
         return F.struct(e.alias("at"), F.concat(acc["out"], F.array(row)).alias("out"))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(shape).alias("out"))
-    placed = F.aggregate(parts, start, place, lambda acc: acc["out"])
-    return F.when(worth & F.regexp_like(text, F.lit(pattern)), placed).otherwise(F.array().cast(shape))
+    # an array grows by copying, so matches are placed in chunks: linear in their number, but for a term of a chunk's size
+    def chunk(acc: Column, own: Column) -> Column:
+        start = F.struct(acc["at"].alias("at"), F.array().cast(shape).alias("out"))
+        return F.aggregate(own, start, place, lambda done: F.struct(done["at"].alias("at"), F.concat(acc["outs"], F.array(done["out"])).alias("outs")))
+
+    def placed(all_: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / CHUNK).cast("int")), lambda c: F.slice(all_, c * CHUNK + 1, F.lit(CHUNK)))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{shape}>").alias("outs"))
+        return F.aggregate(chunks, start, chunk, lambda acc: F.flatten(acc["outs"]))
+
+    return F.when(worth & F.regexp_like(text, F.lit(pattern)), let(parts, placed)).otherwise(F.array().cast(shape))
 
 
 def digits_of(word: Column) -> Column:
@@ -96,37 +120,54 @@ def _octets_fit(word: Column) -> Column:
     return F.forall(F.split(word, "\\."), lambda p: F.regexp_like(p, F.lit("^0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])$")))
 
 
-def _valid(x: Column) -> Column:
-    digits = digits_of(x["word"])
-    return F.when(x["kind"] == "ip", _octets_fit(x["word"])).when(x["kind"] == "card", luhn(digits)).when(x["kind"] == "phone", F.length(digits).between(10, 15)).otherwise(F.lit(True))
+#: A long run of hex digits that has both digits and letters; words joined by signs, with a short number at most.
+_HEX = r"(?<![A-Za-z0-9])(?=[0-9]*+[A-Fa-f])(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{16,}+(?![A-Za-z0-9])"
+_WORDY = r"^[A-Za-z]{2,}+(?:[-_/=+][A-Za-z]++)*+[-_/=+]?[0-9]{0,4}[A-Za-z]?$"
+
+
+def entropy(word: Column) -> Column:
+    """Bits for each character, by the word's own frequencies."""
+    n = F.length(word)
+
+    def add(acc: Column, c: Column) -> Column:
+        share = (n - F.length(F.replace(word, c, F.lit("")))) / n
+        return acc - share * F.log2(share)
+
+    return F.when(n > 0, F.aggregate(F.array_distinct(F.filter(F.split(word, ""), lambda c: c != "")), F.lit(0.0), add)).otherwise(0.0)
 
 
 def _vote(yes: Column, no: Column) -> Column:
     return F.when(yes, "y").when(no, "n").otherwise("-")
 
 
-def votes(x: Column) -> Column:
-    """A letter for each labeler: y(es), n(o), or - where it abstains."""
+def votes(x: Column, gazetteers: Mapping[str, Sequence[str]] = GAZETTEERS) -> Column:
+    """A letter for each labeler: y(es), n(o), - where it abstains, or a dot where it has nothing to say about the kind."""
     kind, word, digits = x["kind"], x["word"], digits_of(x["word"])
     like = lambda c, p: F.regexp_like(c, F.lit(p))
     never = F.lit(False)
     no_kind = lambda *k: ~kind.isin(*k)
+    share = F.length(digits) / F.length(word)
+    capitals = like(word, "^(?=[A-Z]*+[0-9])[A-Z0-9]{16,}$")
+    random = like(word, _HEX) | (entropy(word) >= F.when(capitals, 3.0).when(share >= 0.15, 3.5).otherwise(99.0))
+    wordy = like(word, _WORDY) & ~capitals
     shape = (
-        F.when(kind.isin("email", "ip", "phone", "card"), F.lit("y"))
-        .when(kind == "secret", _vote(like(word, "^(?:[0-9a-f]{24,}|[0-9A-F]{24,}|[A-Za-z0-9+/]{40,}={0,2})$"), like(word, "^[0-9_/=-]*[A-Za-z]{0,2}[0-9_/=-]*$")))
+        F.when(kind.isin(*BASE), F.lit("y"))
+        .when(kind == "secret", _vote(random & ~wordy, wordy | like(word, "^[0-9_/=-]*[A-Za-z]{0,2}[0-9_/=-]*$")))
         .when(kind == "number", _vote(like(word, r"^(?:\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}|[0-9]{3}[-. ][0-9]{3}[-. ][0-9]{4}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[0-9]{16}|(?:[0-9]{4}[ -]){3}[0-9]{4})$"), F.length(digits) < 9))
-        .otherwise(_vote(like(word, f"^(?:{'|'.join(TITLES)})"), never))
+        .otherwise(_vote(like(word, f"^(?:{_any(gazetteers['titles'])})"), never))
     )
-    checksum = F.when(kind == "card", F.lit("y")).when((kind == "number") & (F.length(digits) >= 14), _vote(luhn(digits), ~luhn(digits))).otherwise("-")
+    checksum = F.when(kind == "card", _vote(luhn(digits), ~luhn(digits))).when(kind == "ip", _vote(_octets_fit(word), ~_octets_fit(word)))
+    checksum = checksum.when(kind == "phone", _vote(F.length(digits).between(10, 15), ~F.length(digits).between(10, 15))).when((kind == "number") & (F.length(digits) >= 14), _vote(luhn(digits), ~luhn(digits))).otherwise(".")
     tld = F.lower(F.regexp_extract(word, r"\.([A-Za-z]+)$", 1))
     gazetteer = (
-        F.when(kind == "email", _vote(tld.isin(*TOP_DOMAINS), never))
+        F.when(kind == "email", _vote(tld.isin(*gazetteers["domains"]), never))
         .when(kind.isin("card", "number"), _vote(like(digits, "^(?:4|5[1-5]|3[47]|6011)[0-9]{13,15}$"), never))
-        .when(kind == "secret", _vote(like(word, f"^(?:{'|'.join(KEY_PREFIXES)})"), never))
-        .when(kind == "name", _vote(like(word, f"(?:^| )(?:{'|'.join(GIVEN_NAMES)})(?: |$)"), never))
-        .otherwise("-")
+        .when(kind == "secret", _vote(like(word, f"^(?:{_any(gazetteers['key_prefixes'])})"), never))
+        .when(kind == "name", _vote(like(word, f"(?:^| )(?:{_any(gazetteers['names'])})(?: |$)"), never))
+        .otherwise(".")
     )
-    near = F.lower(x["before"])
+    # secrets bring their own label along: password=...
+    near = F.lower(F.concat(x["before"], F.when(kind == "secret", F.regexp_extract(word, "^([A-Za-z_-]+)=", 1)).otherwise("")))
     cued = reduce(lambda a, k: a | ((kind == k) & like(near, rf"\b(?:{FOR_CUES[k]})\b")), KINDS, never)
     edges = _vote(like(x["before"], r"""(?:^|[\s"'(:=|])$""") & like(x["after"], r"""^(?:$|[\s"'),.;:!?|])"""), like(x["before"], r"[\p{L}0-9]$") & no_kind("email"))
     against = _vote(never, like(near, rf"\b(?:{AGAINST_CUES})\b[ .:=#]*$"))
@@ -136,29 +177,37 @@ def votes(x: Column) -> Column:
 def estimate_reliabilities(rows: Sequence[tuple[str, str, int]], rounds: int = 50) -> tuple[dict[tuple[str, str], float], dict]:
     """Expectation-maximisation over (kind, votes, count).
 
-    A true or false span makes labeler j vote v with a probability of its own (abstaining
-    is a vote too); labelers are independent given the truth, and each kind has its own
-    prior.  Starts from the majority of votes.  Returns the posterior of each (kind, votes), and the estimates.
+    In each family of kinds a true or false span makes labeler j vote v with a probability of its own (abstaining
+    is a vote too, having nothing to say is none); labelers are independent given the truth, and each kind has its own
+    prior.  What is true of the base kinds' candidates is known, their checksum labeler says it, so they
+    hold the truth's side fast; the others start from the majority of votes.  Returns the posterior of each (kind, votes), and the estimates.
     """
-    post = {(k, v): min(0.9, max(0.1, 0.5 + 0.15 * (v.count("y") - v.count("n")))) for k, v, _ in rows}
+    known = {(k, v): float(v[LABELERS.index("checksum")] != "n") for k, v, _ in rows if k in BASE}
+    post = {(k, v): known.get((k, v), min(0.9, max(0.1, 0.5 + 0.15 * (v.count("y") - v.count("n"))))) for k, v, _ in rows}
     says: dict = {}
     prior: dict = {}
     for _ in range(rounds):
-        says = {(j, v, t): 0.5 for j in range(len(LABELERS)) for v in "yn-" for t in (0, 1)}
+        says = {(f, j, v, t): 0.5 for f in set(FAMILY.values()) for j in range(len(LABELERS)) for v in "yn-" for t in (0, 1)}
         prior = {k: [1.0, 1.0] for k in KINDS}
         for k, pattern, n in rows:
             for t in (0, 1):
                 w = n * (post[k, pattern] if t else 1 - post[k, pattern])
                 prior[k][t] += w
                 for j, v in enumerate(pattern):
-                    says[j, v, t] += w
-        totals = {(j, t): sum(says[j, v, t] for v in "yn-") for j in range(len(LABELERS)) for t in (0, 1)}
+                    if v != ".":
+                        says[FAMILY[k], j, v, t] += w
+        totals = {(f, j, t): sum(says[f, j, v, t] for v in "yn-") for f in set(FAMILY.values()) for j in range(len(LABELERS)) for t in (0, 1)}
         moved = 0.0
         for k, pattern, _ in rows:
+            if (k, pattern) in known:
+                continue
             odds = math.log(prior[k][1] / prior[k][0])
+            f = FAMILY[k]
             for j, v in enumerate(pattern):
+                if v == ".":
+                    continue
                 # a labeler may not be held worse than chance: its yes never counts against, its no never for
-                step = math.log(says[j, v, 1] / totals[j, 1]) - math.log(says[j, v, 0] / totals[j, 0])
+                step = math.log(says[f, j, v, 1] / totals[f, j, 1]) - math.log(says[f, j, v, 0] / totals[f, j, 0])
                 odds += max(0.0, step) if v == "y" else min(0.0, step) if v == "n" else step
             p = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
             moved = max(moved, abs(p - post[k, pattern]))
@@ -168,21 +217,40 @@ def estimate_reliabilities(rows: Sequence[tuple[str, str, int]], rounds: int = 5
     return post, {"prior": prior, "says": says}
 
 
-def features(kind: str, pattern: str) -> list[str]:
-    return ["bias", f"kind={kind}", *(f"{j}{v}" for j, v in enumerate(pattern) if v != "-")]
+#: The classifier's features and how many values each has: together they bound the table that it is trained on.
+FEATURES = {"length": 6, "digits": 4, "letters": 4, "entropy": 5, "before": 16, "after": 4}
+
+
+def span_features(x: Column) -> Column:
+    """The span itself and its surroundings, as one digit or letter for each of :data:`FEATURES`.
+
+    Length (by doubling), share of digits, case of the letters, entropy, the word before (hashed) and what comes after.
+    """
+    word, n = x["word"], F.greatest(F.length(x["word"]), F.lit(1))
+    level = lambda value, *edges: F.lit(0) + sum((F.when(value >= e, 1).otherwise(0) for e in edges), F.lit(0))
+    like = lambda c, p: F.regexp_like(c, F.lit(p))
+    share = F.length(digits_of(word)) / n
+    upper, lower = like(word, r"\p{Lu}"), like(word, r"\p{Ll}")
+    near = F.lower(F.regexp_extract(x["before"], r"([\p{L}_]+)[^\p{L}_]*$", 1))
+    after = F.when(x["after"] == "", 0).when(like(x["after"], r"^\s"), 1).when(like(x["after"], r"""^["')\]}>]"""), 2).otherwise(3)
+    values = [level(n, 8, 12, 16, 24, 40), level(share, 0.25, 0.6, 1.0), F.when(upper & lower, 3).when(upper, 2).when(lower, 1).otherwise(0), level(entropy(word), 1.5, 2.5, 3.2, 4.0), F.pmod(F.xxhash64(near), F.lit(FEATURES["before"])), after]
+    return F.concat(*[F.lower(F.hex(v.cast("long"))) for v in values])
+
 
+def train_classifier(rows: Sequence[tuple[str, str, float, int]], rounds: int = 300, ridge: float = 1e-3) -> dict[tuple, float]:
+    """Logistic regression by kind on span features, by gradient ascent on (kind, features, sum of posteriors, count).
 
-def train_classifier(rows: Sequence[tuple[str, str, int]], post: dict[tuple[str, str], float], rounds: int = 300, ridge: float = 1e-3) -> dict[str, float]:
-    """Logistic regression on kinds and votes with the posteriors as soft labels, by gradient ascent on the counts."""
+    The posteriors of the labelers' votes are its soft labels; it never sees the votes, so what it decides by is the span.
+    """
     total = sum(n for *_, n in rows) or 1
-    weights: dict[str, float] = {}
-    squares: dict[str, float] = {}
-    cases = [(features(k, v), post[k, v], n / total) for k, v, n in rows]
+    weights: dict[tuple, float] = {}
+    squares: dict[tuple, float] = {}
+    cases = [([(k,), *((k, j, v) for j, v in enumerate(f))], p / total, n / total) for k, f, p, n in rows]
     for _ in range(rounds):
         slope = {f: -ridge * w for f, w in weights.items()}
-        for names, p, share in cases:
+        for names, positive, share in cases:
             z = sum(weights.get(f, 0.0) for f in names)
-            miss = share * (p - 1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+            miss = positive - share / (1 + math.exp(-max(-30.0, min(30.0, z))))
             for f in names:
                 slope[f] = slope.get(f, 0.0) + miss
         for f, g in slope.items():
@@ -191,19 +259,19 @@ def train_classifier(rows: Sequence[tuple[str, str, int]], post: dict[tuple[str,
     return weights
 
 
-def _score(x: Column, weights: dict[str, float]) -> Column:
-    """The classifier as an expression over kind and votes."""
-    out = F.lit(round(weights.get("bias", 0.0), 9))
-    for k in KINDS:
-        out = out + F.when(x["kind"] == k, F.lit(round(weights.get(f"kind={k}", 0.0), 9))).otherwise(0.0)
-    for j in range(len(LABELERS)):
-        at = F.substring(x["votes"], j + 1, 1)
-        out = out + F.when(at == "y", F.lit(round(weights.get(f"{j}y", 0.0), 9))).when(at == "n", F.lit(round(weights.get(f"{j}n", 0.0), 9))).otherwise(0.0)
-    return out
+def _score(x: Column, weights: Mapping[tuple, float]) -> Column:
+    """The classifier as an expression over kind and features: one look-up for each feature in a table of weights."""
+    table = {"".join([n[0], *(f"/{part}" for part in n[1:])]): round(w, 9) for n, w in weights.items()}
+    if not table:
+        return F.lit(-1.0)
+    held = F.create_map(*[F.lit(v) for pair in sorted(table.items()) for v in pair])
+    parts = [x["kind"], *[F.concat(x["kind"], F.lit(f"/{j}/"), F.substring(x["features"], j + 1, 1)) for j in range(len(FEATURES))]]
+    # a value that was not seen in training weighs nothing
+    return sum((F.coalesce(F.try_element_at(held, p), F.lit(0.0)) for p in parts), F.lit(0.0))
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, base and more: arrays of struct(kind, s, e, votes)."""
+def candidates(docs: DataFrame, gazetteers: Mapping[str, Sequence[str]] = GAZETTEERS) -> DataFrame:
+    """doc_id, base and more: arrays of struct(kind, s, e, votes, features); failed: of struct(kind, votes), base candidates that are none."""
     text = F.col("text")
     has_digit, has_at = F.regexp_like(text, F.lit("[0-9]")), F.contains(text, F.lit("@"))
     worth = {"email": has_at, "name": F.lit(True)}
@@ -211,29 +279,51 @@ def candidates(docs: DataFrame) -> DataFrame:
     raw = raw.select(
         "doc_id",
         F.concat(*[_found(text, k, p, worth.get(k, has_digit)) for k, p in _PATTERNS.items()]).alias("base"),
-        F.concat(*[_found(text, k, p, worth.get(k, has_digit)) for k, p in _CANDIDATES.items()]).alias("more"),
+        F.concat(*[_found(text, k, p, worth.get(k, has_digit)) for k, p in candidate_patterns(gazetteers).items()]).alias("more"),
     )
-    raw = raw.withColumn("base", F.filter("base", _valid))
+    voted = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), votes(x, gazetteers).alias("votes"), span_features(x).alias("features")))
+    raw = raw.select("doc_id", voted(F.col("base")).alias("all"), "more")
+    fits = lambda x: F.substring(x["votes"], LABELERS.index("checksum") + 1, 1) != "n"
+    failed = F.transform(F.filter("all", lambda x: ~fits(x)), lambda x: F.struct(x["kind"].alias("kind"), x["votes"].alias("votes")))
+    raw = raw.select("doc_id", F.filter("all", fits).alias("base"), failed.alias("failed"), "more")
     own = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"])))
-    slim = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e"), votes(x).alias("votes")))
-    return raw.select("doc_id", slim(F.col("base")).alias("base"), slim(F.when(F.size("more") > 0, own).otherwise(F.col("more"))).alias("more"))
+    return raw.select("doc_id", "base", "failed", voted(F.when(F.size("more") > 0, own).otherwise(F.col("more"))).alias("more"))
+
+
+def gazetteers_of(terms: DataFrame, most: int = 20_000) -> dict[str, list[str]]:
+    """Gazetteers from a table of list (names, titles, key_prefixes or domains) and term, ``most`` terms at most; lists that it lacks are the built-in ones."""
+    rows = terms.where("term <> ''").select("list", "term").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms: they become a pattern of each task's")
+    unknown = {r["list"] for r in rows} - set(GAZETTEERS)
+    if unknown:
+        raise ValueError(f"unknown lists: {', '.join(sorted(map(str, unknown)))}")
+    return {name: sorted(r.term for r in rows if r["list"] == name) or own for name, own in GAZETTEERS.items()}
 
 
-def find_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, base and spans, one row for each row of ``docs``; arrays of struct(s, rank, kind, e, votes) by start, then kind.
+def find_spans(docs: DataFrame, gazetteers: Mapping[str, Sequence[str]] = GAZETTEERS, learn: Column | None = None) -> DataFrame:
+    """doc_id, base and spans, one row for each row of ``docs``; arrays of struct(s, rank, kind, e, votes, features) by start, then kind.
 
-    ``docs``: doc_id and text; other columns are ignored.  Places are code points, ends
+    ``docs``: doc_id and text; other columns are ignored.  ``learn``: which rows, by doc_id, reliabilities and classifier are
+    estimated from (all).  Places are code points, ends
     exclusive.  A null or empty text has empty arrays.  Repeated rows are each
     reported (and each count in the estimates); an empty table gives an empty result.
     Without any candidate the classifier adds nothing.
     """
-    found = materialize(candidates(docs), "pii")
-    patterns = found.select(F.explode(F.concat("base", "more")).alias("x")).groupBy("x.kind", "x.votes").count()
-    rows = sorted((r["kind"], r["votes"], r["count"]) for r in patterns.collect())  # at most len(KINDS) * 3 ** len(LABELERS)
+    found = materialize(candidates(docs, gazetteers), "pii")
+    every = found.where(learn) if learn is not None else found
+    plain = lambda c: F.transform(c, lambda x: F.struct(x["kind"].alias("kind"), x["votes"].alias("votes")))
+    patterns = every.select(F.explode(F.concat(plain("base"), plain("more"), "failed")).alias("x")).groupBy("x.kind", "x.votes").count()
+    rows = sorted((r["kind"], r["votes"], r["count"]) for r in patterns.collect())  # at most len(KINDS) * 4 ** len(LABELERS)
     post, _ = estimate_reliabilities(rows)
-    weights = train_classifier(rows, post)
+    weights: dict[tuple, float] = {}
+    if any(k in ADDED for k, *_ in rows):
+        soft = F.create_map(*[F.lit(v) for (k, pattern), p in sorted(post.items()) if k in ADDED for v in (k + pattern, p)])
+        cells = every.select(F.explode("more").alias("x")).groupBy("x.kind", "x.features").agg(F.sum(F.element_at(soft, F.concat("x.kind", "x.votes"))).alias("p"), F.count(F.lit(1)).alias("n"))
+        # at most len(ADDED) times the product of FEATURES
+        weights = train_classifier(sorted((r["kind"], r["features"], r["p"], r["n"]) for r in cells.collect()))
     rank = F.create_map(*[F.lit(v) for i, k in enumerate(KINDS) for v in (k, i)])
-    ranked = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.element_at(rank, x["kind"]).alias("rank"), x["kind"].alias("kind"), x["e"].alias("e"), x["votes"].alias("votes"))))
+    ranked = lambda c: F.array_sort(F.transform(c, lambda x: F.struct(x["s"].alias("s"), F.element_at(rank, x["kind"]).alias("rank"), x["kind"].alias("kind"), x["e"].alias("e"), x["votes"].alias("votes"), x["features"].alias("features"))))
     added = F.filter("more", lambda x: _score(x, weights) > 0)
     return found.select("doc_id", ranked(F.col("base")).alias("base"), ranked(F.concat("base", added)).alias("spans"))
 
