@@ -6,14 +6,16 @@ corpus count table, which is joined to what the blocks sent, and the totals go
 back to the blocks, where they are joined to the exploded n-grams and the scores of the
 n-grams are summed per document.
 
-The rows that are exchanged hold one block's n-grams of one hash partition, sorted and
-packed into bytes; the way back holds the totals only, in the order in which they were sent.
+The relation that is exchanged is (hash partition, order, block, n-grams, counts): a row holds the n-grams that one block
+has in one partition, sorted and packed into bytes; the way back holds the totals only, in the order in which they were sent.
 So the shuffles stay a few times smaller than rows of one n-gram would make them, and no
-n-gram is pruned.
+n-gram is pruned.  There are never more rows than distinct n-grams of blocks: as the corpus grows and with it the number of
+partitions, rows get shorter, down to one n-gram (and are then laid out plainly), and their number grows in proportion to the input.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -25,23 +27,35 @@ from pyspark.sql import functions as F
 from ._common import bucketed, distinct, hash_words, mix, row_slices, text_buffer
 
 
+#: Shorter arrays are not worth deflating.
+FEW = 16
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
-    """Distinct 64-bit hashes in rising runs: differences (modulo 2**64), laid out by byte significance, deflated."""
+    """Distinct 64-bit hashes in rising runs: differences (modulo 2**64), laid out by byte significance, deflated; a few as they are."""
+    if len(values) < FEW:
+        return b"r" + values.astype(np.uint64).tobytes()
     steps = np.diff(values, prepend=np.uint64(0))
-    return zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    return b"z" + zlib.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8)
+    if data[:1] == b"r":
+        return np.frombuffer(data, np.uint64, offset=1)
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8)
     return np.cumsum(np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
 def pack_counts(counts: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
+    if len(counts) < FEW and counts.max(initial=0) < 256:
+        return b"b" + counts.astype(np.uint8).tobytes()
+    return b"z" + zlib.compress(np.ascontiguousarray(counts.astype(np.uint64).view(np.uint8).reshape(-1, 8).T).tobytes(), 1)
 
 
 def unpack_counts(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(data), np.uint8)
+    if data[:1] == b"b":
+        return np.frombuffer(data, np.uint8, offset=1).astype(np.int64)
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8)
     return np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel().astype(np.int64)
 
 
@@ -65,8 +79,9 @@ def n_gram_hashes(words: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarr
     return out[whole], np.flatnonzero(whole) + n - 1
 
 
-def partition_bounds(parts: int) -> np.ndarray:
-    return np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+def partition_of(grams: np.ndarray, parts: int) -> np.ndarray:
+    """The hash partition of each n-gram; partitions are ranges of the hash, so sorted n-grams have sorted partitions."""
+    return ((grams >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
 def _block_rows(size: int):
@@ -118,8 +133,7 @@ def _words_of_block(vocabulary: bytes, places: bytes, n_words: bytes) -> tuple[n
 
 
 def _sent_rows(order: int, parts: int):
-    """A block's distinct n-grams, one row for each hash partition."""
-    bounds = partition_bounds(parts)
+    """A block's distinct n-grams, one row for each hash partition that they fall into: as many as it has n-grams, at most."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,10 +141,11 @@ def _sent_rows(order: int, parts: int):
                 words, owner, _ = _words_of_block(vocabulary, places, n_words)
                 for n in range(1, order + 1):
                     grams, counts = np.unique(n_gram_hashes(words, owner, n)[0], return_counts=True)
-                    cuts = np.concatenate([[0], np.searchsorted(grams, bounds), [len(grams)]]).astype(np.int64)
-                    for a in range(0, parts, 64):
-                        own = [p for p in range(a, min(parts, a + 64)) if cuts[p + 1] > cuts[p]]
-                        yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array([n] * len(own), pa.int32()), pa.array(own, pa.int32()), pa.array([pack_sorted(grams[cuts[p] : cuts[p + 1]]) for p in own], pa.binary()), pa.array([pack_counts(counts[cuts[p] : cuts[p + 1]]) for p in own], pa.binary())], ["block", "n", "part", "grams", "counts"])
+                    part = partition_of(grams, parts)
+                    cuts = np.flatnonzero(np.diff(part, prepend=-1)).tolist() + [len(grams)]
+                    for a in range(0, len(cuts) - 1, 64):
+                        own = list(itertools.pairwise(cuts[a : a + 65]))
+                        yield pa.RecordBatch.from_arrays([pa.array([block] * len(own), pa.int64()), pa.array([n] * len(own), pa.int32()), pa.array(part[[x for x, _ in own]].astype(np.int32)), pa.array([pack_sorted(grams[x:y]) for x, y in own], pa.binary()), pa.array([pack_counts(counts[x:y]) for x, y in own], pa.binary())], ["block", "n", "part", "grams", "counts"])
 
     return rows
 

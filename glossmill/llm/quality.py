@@ -1,7 +1,7 @@
 """Quality rules and a hashed n-gram log-likelihood ratio, in DataFrame operations only.
 
 Words and word pairs are hashed to buckets.  One pass over the corpus counts
-the buckets of all texts (the raw multinomial) and of a bounded number of trusted ones
+the buckets of all texts (the raw multinomial) and of the trusted ones
 (the target multinomial); a text's score is the mean, over its n-grams, of
 log(target share / raw share), so that long texts do not score higher for their length.
 A text is kept if the base rules pass it and its score reaches the threshold, always the
@@ -16,8 +16,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import hash_sample
-
 SPACE = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "[^#*$%&|<>]+"
 
@@ -75,10 +73,11 @@ def buckets_of(words: Column, buckets: int) -> Column:
     return F.concat(single, pairs)
 
 
-def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_trusted: int, prior: float) -> list[float]:
+def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, broadcast_ids: int, prior: float) -> list[float]:
     """log(target share / raw share) of each bucket; the target is smoothed towards the raw shares with ``prior`` pseudo-counts a bucket."""
-    trusted = hash_sample(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct(), "doc_id", max_trusted)
-    flagged = docs.join(F.broadcast(trusted.select("doc_id", F.lit(1).alias("trusted"))), "doc_id", "left")  # about max_trusted rows at most
+    trusted = labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct().withColumn("trusted", F.lit(1))
+    sent = F.broadcast(trusted) if trusted.count() <= broadcast_ids else trusted
+    flagged = docs.join(sent, "doc_id", "left")
     words = words_of(F.coalesce(F.col("text").cast("string"), F.lit("")))
     counts = flagged.select(F.explode(let(words, lambda w: buckets_of(w, buckets))).alias("bucket"), "trusted").groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("trusted").alias("target"))
     raw, target = [0] * buckets, [0] * buckets
@@ -89,18 +88,19 @@ def log_ratios(docs: DataFrame, labels: DataFrame, buckets: int, max_trusted: in
     return [math.log((t + prior * buckets * s) / (n_target + prior * buckets) / s) for t, s in zip(target, share)]
 
 
-def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.04, buckets: int = 1 << 14, max_trusted: int = 20_000, prior: float = 1.0, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def judge(docs: DataFrame, labels: DataFrame, threshold: float = -0.04, buckets: int = 1 << 14, broadcast_ids: int = 1_000_000, prior: float = 1.0, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """doc_id, the base figures, base_failed, score and kept, one row for each row of ``docs``.
 
-    ``docs``: doc_id, text; ``labels``: doc_id, quality (1: trusted).  The trusted documents, or about
-    ``max_trusted`` of them by the hash of doc_id, make the target; the raw counts are of all rows.  Other columns are ignored.
+    ``docs``: doc_id, text; ``labels``: doc_id, quality (1: trusted).  All trusted documents make the target, all rows
+    the raw counts.  Other columns are ignored.  Trusted ids go to all tasks while there are at most ``broadcast_ids``
+    of them (8 bytes each); more are joined by a shuffle.
 
     Null and empty texts have no words: all counts 0, score 0, base_failed.  Rows that share
     a doc_id are each judged.  Without trusted documents every score is about 0.  An empty
     table gives an empty result.
     """
     slim = docs.select("doc_id", "text")
-    ratios = log_ratios(slim, labels, buckets, max_trusted, prior)
+    ratios = log_ratios(slim, labels, buckets, broadcast_ids, prior)
     table = F.split(F.lit(",".join(f"{x:.9g}" for x in ratios)), ",").cast("array<double>")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 

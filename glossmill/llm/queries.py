@@ -46,8 +46,9 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stupid-backoff scores of every document under the trigrams of all others."""
-    return score_documents(read(spark, sf_dir, "documents"), order=3, alpha=0.4)
+    """Stupid-backoff scores of every document under the trigrams of all others, rounded, since sums have no fixed order."""
+    out = score_documents(read(spark, sf_dir, "documents"), order=3, alpha=0.4)
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 #: Fixed rules of the query: verdict and rule.

@@ -147,6 +147,31 @@ def test_quality(spark):
     assert quality.judge(spark.createDataFrame([], TABLE), labels.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("broadcast_ids", [0, 1000])
+def test_quality_scores_equal_plain_ones(spark, broadcast_ids):
+    import math
+
+    texts = [" ".join(f"w{(i * j) % (5 + i % 3)}" for j in range(i % 9)) for i in range(40)] + [None, ""]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(3, texts[3]), (None, "w1 w2")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(20)] + [(1, 1, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    n = 64
+    # the buckets are Spark's hash; what is made of them is counted here
+    words = quality.words_of(F.coalesce("text", F.lit("")))
+    own = [r.b for r in docs.select(quality.let(words, lambda w: quality.buckets_of(w, n)).alias("b")).collect()]
+    raw, target = Counter(), Counter()
+    for (d, _), b in zip(rows, own):
+        raw.update(b)
+        if d is not None and d < 20 and d % 2 == 1:
+            target.update(b)
+    share = {x: (raw[x] + 1) / (raw.total() + n) for x in range(n)}
+    ratio = {x: math.log((target[x] + n * share[x]) / (target.total() + n) / share[x]) for x in range(n)}
+    got = quality.judge(docs, labels, buckets=n, broadcast_ids=broadcast_ids, min_words=0).collect()
+    want = sorted((d is None, d or 0, round(sum(ratio[x] for x in b) / max(1, len(b)), 6)) for (d, _), b in zip(rows, own))
+    assert sorted((r.doc_id is None, r.doc_id or 0, round(r.score, 6)) for r in got) == want
+    assert all(r.kept == (not r.base_failed and r.score >= -0.04) for r in got)
+
+
 def test_token_counts_equal_the_library(spark):
     tokenizers = pytest.importorskip("tokenizers")
     public = pytest.importorskip("public_tokenizers")
