@@ -3,34 +3,47 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import dominant_script
 
 
-def equal_count_bins(rows: DataFrame, key: str, bins: int, pos: str, part: list[str] | None = None, name: str = "bin") -> DataFrame:
+def span_of(rows: DataFrame, pos: str) -> Row:
+    """lo, hi and n of the positions."""
+    return rows.agg(F.min(pos).alias("lo"), F.max(pos).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+
+
+def equal_count_bins(rows: DataFrame, key: str, bins: int, pos: str, part: list[str] | None = None, name: str = "bin", ties: list[str] | None = None, rows_a_range: int = 1_000_000, span: Row | None = None) -> DataFrame:
     """``rows`` with the number of their bin by ``key``: bin b holds the sorted places from int(b * n / bins) up to int((b + 1) * n / bins).
 
     Not ntile: the edges are rounded products of doubles, which may leave the last row without a bin; such
-    rows, and ones with a null key, are left out.  Ranks come from counts of the distinct keys, so
-    that only equal keys are numbered together, never the whole table in one task.
+    rows, and ones with a null key, are left out.  Equal keys are in order of ``ties`` and then ``pos`` (a whole number).
+    Ranks come from the counts of keys by ranges of ``pos``, of about ``rows_a_range`` rows where those are spread
+    evenly (``span``: from :func:`span_of`, where it is known), and rows are numbered within a key and a range only: neither the table nor a hot key is ever in one task.
     """
-    part = part or []
+    part, ties = part or [], ties or []
     used = rows.where(F.col(key).isNotNull())
-    counts = used.groupBy(*part, key).agg(F.count(F.lit(1)).alias("_c"))
-    upto = Window.partitionBy(*part).orderBy(key)
+    span = span or span_of(used, pos)
+    width = max(1, (int(span.hi or 0) - int(span.lo or 0) + 1) // max(1, span.n // rows_a_range))
+    used = used.withColumn("_range", F.floor((F.col(pos) - F.lit(int(span.lo or 0))) / F.lit(width)))
+    cell = [*part, key, *ties, "_range"]
+    counts = used.groupBy(*cell).agg(F.count(F.lit(1)).alias("_c"))
+    upto = Window.partitionBy(*part).orderBy(key, *ties, "_range")
     ranked = counts.withColumns({"_before": F.sum("_c").over(upto) - F.col("_c"), "_n": F.sum("_c").over(Window.partitionBy(*part))})
-    same = Window.partitionBy(*part, key).orderBy(pos)
-    placed = used.join(ranked.drop("_c"), [*part, key]).withColumn("_r", F.col("_before") + F.row_number().over(same) - 1)
+    # ties may be null
+    other = ranked.drop("_c").select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cell)], "_before", "_n")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(cell)])
+    placed = used.join(other, same).withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(*cell).orderBy(pos)) - 1)
     step = F.col("_n").cast("double") / F.lit(float(bins))
     edge = lambda b: F.floor(b.cast("double") * step)
     near = F.floor(F.col("_r") / step)
     own = F.coalesce(*[F.when((F.col("_r") >= edge(near + d)) & (F.col("_r") < edge(near + d + 1)) & (near + d < bins), near + d) for d in (-1, 0, 1)])
-    return placed.withColumn(name, own.cast("int")).where(F.col(name).isNotNull()).drop("_before", "_n", "_r")
+    return placed.withColumn(name, own.cast("int")).where(F.col(name).isNotNull()).drop("_before", "_n", "_r", "_range", *[f"_k{i}" for i in range(len(cell))])
 
 
 def _hits() -> Column:
@@ -46,11 +59,10 @@ def dose_response(rows: DataFrame, key: str = "cmi_ref", bins: int = 10, pos: st
 def length_cmi_grid(rows: DataFrame, strata: int = 3, cells: int = 3, pos: str = "_pos") -> DataFrame:
     """stratum (by reference length), cell (by CMI within it), n and collapsed, with the stratum's lengths."""
     used = rows.where(F.col("cmi_ref").isNotNull() & (F.col("n_ref") > 0))
-    banded = equal_count_bins(used, "n_ref", strata, pos, name="stratum")
+    span = span_of(used, pos)
+    banded = equal_count_bins(used, "n_ref", strata, pos, name="stratum", span=span)
     # within a stratum ties on CMI keep the order by length
-    order = Window.partitionBy("stratum").orderBy("n_ref", pos)
-    banded = banded.withColumn("_order", F.row_number().over(order))
-    celled = equal_count_bins(banded, "cmi_ref", cells, "_order", ["stratum"], "cell")
+    celled = equal_count_bins(banded, "cmi_ref", cells, pos, ["stratum"], "cell", ["n_ref"], span=span)
     spans = banded.groupBy("stratum").agg(F.min("n_ref").alias("min_ref"), F.max("n_ref").alias("max_ref"))
     return celled.groupBy("stratum", "cell").agg(F.count(F.lit(1)).alias("n"), _hits().alias("collapsed")).join(spans, "stratum")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.align import token_distance
@@ -27,27 +27,36 @@ def misalignments(rows: DataFrame, window: int = 5, min_own_mer: float = 0.5, ra
     t = rows.select(*part, "index", "id", "ref", "hyp", tokens(F.col("ref")).alias("r"), tokens(F.col("hyp")).alias("h"))
     own = t.where((F.size("r") > 0) & (F.size("h") > 0)).withColumn("own_mer", _mer("r", "h")).where(F.col("own_mer") >= min_own_mer)
     away = F.filter(F.sequence(F.col("index") - window, F.col("index") + window), lambda x: x != F.col("index"))
-    spread = own.withColumn("best_index", F.explode(away))
+    # the tokens alone are spread; what else belongs to a row stays with the own place, which is among those looked at
+    spread = own.select(*part, "index", "h", "own_mer", F.explode(away).alias("best_index"))
     other = t.where(F.size("r") > 0).select(*part, F.col("index").alias("best_index"), F.col("id").alias("best_id"), F.col("r").alias("other"))
-    near = spread.join(other, [*part, "best_index"]).withColumn("best_mer", _mer("other", "h"))
+    near = spread.join(other, [*part, "best_index"])
+    # tokens that the other side lacks cost an edit each; what cannot reach ``max_best_mer`` needs no alignment, as it is no match even if it is the best
+    apart = F.greatest(F.abs(F.size("other") - F.size("h")), F.size(F.array_except("other", "h")), F.size(F.array_except("h", "other")))
+    near = near.where(apart <= max_best_mer * F.size("other")).withColumn("best_mer", _mer("other", "h"))
     key = [*part, "index"]
-    best = near.groupBy(*key).agg(F.min(F.struct("best_mer", "best_index", "best_id", "own_mer", "id", "ref", "hyp", F.size("r").alias("n_ref"))).alias("b")).select(*key, "b.*")
+    best = near.groupBy(*key).agg(F.min(F.struct("best_mer", "best_index", "best_id", "own_mer")).alias("b")).select(*key, "b.*")
     fits = (F.col("best_mer") < F.col("own_mer")) & (F.col("best_mer") <= max_best_mer) & (F.col("best_mer") <= F.col("own_mer") * ratio)
-    return best.where(fits).withColumn("improvement", F.col("own_mer") - F.col("best_mer"))
+    texts = t.select(*key, "id", "ref", "hyp", F.size("r").alias("n_ref"))
+    out = best.where(fits).join(texts, key).withColumn("improvement", F.col("own_mer") - F.col("best_mer"))
+    return out.select(*key, "best_mer", "best_index", "best_id", "own_mer", "id", "ref", "hyp", "n_ref", "improvement")
+
+
+def _pair(part: list[str]) -> WindowSpec:
+    """Rows that name the same two places: two at most, since a row names one place beside its own."""
+    return Window.partitionBy(*part, F.least("index", "best_index"), F.greatest("index", "best_index"))
 
 
 def mutual_pairs(found: DataFrame, part: list[str] | None = None) -> DataFrame:
     """Rows that are each other's best, once each: the first member's row with the second's place and id."""
-    part = part or []
-    second = found.select(*part, F.col("index").alias("best_index"), F.col("best_index").alias("index"), F.col("own_mer").alias("other_own_mer"))
-    return found.join(second, [*part, "index", "best_index"]).where(F.col("index") < F.col("best_index"))
+    pair = _pair(part or [])
+    second = F.max(F.when(F.col("index") > F.col("best_index"), F.col("own_mer"))).over(pair)
+    return found.withColumns({"_n": F.count(F.lit(1)).over(pair), "other_own_mer": second}).where((F.col("_n") == 2) & (F.col("index") < F.col("best_index"))).drop("_n")
 
 
 def with_mutual(found: DataFrame, part: list[str] | None = None) -> DataFrame:
     """``found`` with mutual: whether the best match points back."""
-    part = part or []
-    back = found.select(*part, F.col("index").alias("best_index"), F.col("best_index").alias("index"), F.lit(True).alias("_m"))
-    return found.join(back, [*part, "index", "best_index"], "left").withColumn("mutual", F.coalesce("_m", F.lit(False))).drop("_m")
+    return found.withColumn("mutual", F.count(F.lit(1)).over(_pair(part or [])) == 2)
 
 
 def one_way(found: DataFrame, part: list[str] | None = None) -> DataFrame:

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +132,19 @@ def test_reports_render(spark):
     m = scoring.diagnosis(scoring.corpus_metrics(scoring.score_utterances(pairs_of(spark, ("我好", "我好"))))).first()
     text = report.format_metrics(m, "x")
     assert "WER_en" in text and "n/a" in text and "nothing anomalous" in text
+
+
+@pytest.mark.parametrize("rows_a_range", [10, 1_000_000])
+def test_bins_with_one_hot_key(spark, rows_a_range):
+    # nine of ten rows have one key; positions have gaps
+    r = random.Random(12)
+    rows = [(i * 7 + r.randrange(3), 0.0 if r.random() < 0.9 else r.choice([0.25, 0.5, None]), r.choice([1, 2, None])) for i in range(400)]
+    df = spark.createDataFrame(rows, "pos long, k double, tie int")
+    want = {}
+    held = sorted((x for x in rows if x[1] is not None), key=lambda x: (x[1], x[2] is not None, x[2] or 0, x[0]))
+    for b in range(7):
+        for x in held[int(b * (len(held) / 7)) : int((b + 1) * (len(held) / 7))]:
+            want[x[0]] = b
+    got = collapse.equal_count_bins(df, "k", 7, "pos", ties=["tie"], rows_a_range=rows_a_range)
+    assert got.columns == ["pos", "k", "tie", "bin"]
+    assert {x.pos: x.bin for x in got.collect()} == want
