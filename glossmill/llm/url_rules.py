@@ -69,18 +69,19 @@ def url_tokens(host: Column, path: Column, url: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(*parts)), lambda x: F.length(x) > 2)
 
 
-def combinations(labelled: DataFrame, min_count: int) -> DataFrame:
+def combinations(labelled: DataFrame, min_count: int, most_sent: int = 50_000) -> DataFrame:
     """items, bad, n, confidence and lift of the token combinations that at least ``min_count`` bad rows of ``labelled`` have.
 
     ``labelled``: row (an id), tokens, bad.  Of tokens that are in the very same rows (a host and its labels, say) one stands for
     all, the shortest; such sets would double the combinations with each.  FP-growth runs over the bad rows
     alone, since a combination must be frequent there; the rows of either outcome that have it are counted by a join
-    on its rarest token.
+    on its rarest token, to which the combinations are sent while there are at most ``most_sent`` of them.
     """
     said = labelled.select("row", "bad", F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("bad"), F.sum(F.xxhash64("row").cast("decimal(38,0)")).alias("rows"))
     tokens = said.where(F.col("bad") >= min_count).groupBy("n", "rows").agg(F.min(F.struct(F.length("token").alias("l"), "token")).alias("t")).select(F.col("t.token").alias("token"), "n")
+    # each is in a share of all rows, so there are at most as many as a row's tokens by that share: few enough to send
     tokens = materialize(tokens, "tokens")
-    slim = labelled.select("row", "bad", F.explode("tokens").alias("token")).join(tokens.select("token"), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items"))
+    slim = labelled.select("row", "bad", F.explode("tokens").alias("token")).join(F.broadcast(tokens.select("token")), "token").groupBy("row", "bad").agg(F.collect_list("token").alias("items"))
     slim = materialize(slim, "items")
     bad = slim.where("bad")
     n_bad = bad.count()
@@ -88,7 +89,8 @@ def combinations(labelled: DataFrame, min_count: int) -> DataFrame:
         return labelled.sparkSession.createDataFrame([], "items array<string>, bad long, n long, confidence double, lift double")
     sets = FPGrowth(itemsCol="items", minSupport=min_count / n_bad).fit(bad.select("items")).freqItemsets
     sets = materialize(sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("bad")), "sets")
-    rarest = sets.select("items", F.explode("items").alias("token")).join(tokens, "token").groupBy("items").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    rarest = sets.select("items", F.explode("items").alias("token")).join(F.broadcast(tokens), "token").groupBy("items").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
+    rarest = F.broadcast(rarest) if sets.count() <= most_sent else rarest.hint("merge")
     found = slim.select(F.col("items").alias("own"), F.explode("items").alias("token")).join(rarest, "token").where(F.size(F.array_except("items", "own")) == 0)
     counted = found.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
     rate = labelled.agg(F.avg(F.col("bad").cast("double")).alias("rate")).first().rate

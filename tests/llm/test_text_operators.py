@@ -304,7 +304,7 @@ def test_mining_equals_brute_force(spark):
     found = {tuple(x["items"]): (x.bad, x.n) for x in got.collect()}
     # of x, y1 and z, which always go together, the first shortest stands for all
     want = {c: (bad[c], held[c]) for c in bad if bad[c] >= 8 and not {"y1", "z"} & set(c)}
-    assert found == want
+    assert found == want == {tuple(x["items"]): (x.bad, x.n) for x in url_rules.combinations(df, 8, most_sent=0).collect()}
     mined = url_rules.prune(got.where("confidence >= 0.6 and lift >= 1.5"))
     assert (("a", "b"), 1.0) in [(t, round(c, 9)) for t, c in mined] and all(not (set(a) < set(b) and ca >= cb) for a, ca in mined for b, cb in mined)
     fires = lambda t, known: max((c for k, c in known if set(k) <= t), default=0.0)
