@@ -91,7 +91,9 @@ def combinations(labelled: DataFrame, min_count: int, most_sent: int = 50_000) -
     sets = materialize(sets.select(F.array_sort("items").alias("items"), F.col("freq").alias("bad")), "sets")
     rarest = sets.select("items", F.explode("items").alias("token")).join(F.broadcast(tokens), "token").groupBy("items").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     rarest = F.broadcast(rarest) if sets.count() <= most_sent else rarest.hint("merge")
-    found = slim.select(F.col("items").alias("own"), F.explode("items").alias("token")).join(rarest, "token").where(F.size(F.array_except("items", "own")) == 0)
+    # the table is small in bytes, and one task would read it all
+    dealt = slim.repartition(int(slim.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    found = dealt.select(F.col("items").alias("own"), F.explode("items").alias("token")).join(rarest, "token").where(F.size(F.array_except("items", "own")) == 0)
     counted = found.groupBy("items").agg(F.count(F.lit(1)).alias("n"))
     rate = labelled.agg(F.avg(F.col("bad").cast("double")).alias("rate")).first().rate
     out = sets.join(counted, "items").withColumn("confidence", F.col("bad") / F.col("n"))
