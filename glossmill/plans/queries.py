@@ -214,6 +214,12 @@ def lost_tokens_topk(spark, sf_dir):
     return inventory.top(inventory.lost_tokens(_spans(spark, sf_dir)), 30).select("token", "count")
 
 
+@registered(_with(ALIGNED, "SELECT token, count FROM (SELECT rt AS token, count(*) AS count FROM oo WHERE op IN ('S', 'D') AND rtl = 'en' GROUP BY rt ORDER BY count(*) DESC, min((id, t)) LIMIT 30) WHERE count >= 40"))
+def frequent_lost_tokens(spark, sf_dir):
+    """The minimum applies to what the limit leaves."""
+    return inventory.top(inventory.lost_tokens(_spans(spark, sf_dir)), 30, 40).select("token", "count")
+
+
 @registered(_with(SPANS, "SELECT ref_lang, hyp_lang, sum(c)::BIGINT AS total, count(*) AS distinct_pairs FROM (SELECT ref_lang, hyp_lang, ref, hyp, count(*) AS c FROM spn WHERE kind = 'sub' GROUP BY ALL) GROUP BY ref_lang, hyp_lang"))
 def inventory_totals(spark, sf_dir):
     return inventory.directions(inventory.inventory(_spans(spark, sf_dir)))
@@ -441,3 +447,23 @@ def allowed_vocabulary(spark, sf_dir):
     v = d.groupBy(F.concat_ws(" ", "lang", "source").alias("token")).agg(F.min("doc_id").alias("token_id"))
     thai = v.select(F.translate("token", "aeios", "กขคงจ").alias("token"), "token_id")
     return allowed_entries(v.unionByName(thai).withColumn("special", F.lit(False)), "zh+en").select("token_id", "token")
+
+
+@registered("SELECT doc_id, strip_accents(text) AS text FROM documents")
+def accents_stripped(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", N.strip_accents("text").alias("text"))
+
+
+@registered("SELECT page_id AS id, CASE WHEN url LIKE '%casino%' THEN '' ELSE regexp_replace(regexp_extract(rtrim(url, '/'), '([^/]*)$', 1), '(.)\\.[^.]+$', '\\1') END AS hyp, CASE WHEN url LIKE '%casino%' THEN 'cannot read ' || rtrim(url, '/') END AS error FROM pages")
+def failed_batches(spark, sf_dir):
+    """A recogniser that fails on some paths: empty hypotheses with the error, and the run goes on."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("_pos"), F.col("page_id").cast("string").alias("id"), F.rtrim("url", F.lit("/")).alias("audio"))
+    return transcribe(p, lambda: EchoRecognizer(fail_on="casino", max_failure_rate=1.0)).select(F.col("id").cast("long").alias("id"), "hyp", "error")
+
+
+@registered(_with(SCORED, _metric_sql("'all' AS model, ") + " UNION ALL " + _metric_sql("'even' AS model, ", where="id % 2 = 0")))
+def union_of_runs(spark, sf_dir):
+    """Runs of unequal rows and columns side by side."""
+    every = scored(spark, sf_dir)
+    runs = {"all": every.drop("index"), "even": every.where("id % 2 = 0").withColumn("extra", F.lit(1))}
+    return _shown(scoring.compare(runs), "model")
