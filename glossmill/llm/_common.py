@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import re
 import tempfile
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,20 @@ def scratch_scope(spark: SparkSession, *keep: DataFrame) -> Iterator[list[DataFr
             drop_scratch(spark, types.SimpleNamespace(_scratch=path))
 
 
+def thrifty(rows: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``rows``, after which freed memory goes back to the system: a Python worker serves later tasks, too, and would keep the most that any took."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def hash_sample(df: DataFrame, key: str, most: int, salt: str = "sample") -> DataFrame:
     """All rows, or where there are over ``most``, those whose hash of ``key`` falls below the share of ``most`` in all: about ``most``, the same ones each time.
 

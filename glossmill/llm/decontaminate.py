@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import hash_words, mix, row_slices, text_buffer
+from ._common import hash_words, mix, row_slices, text_buffer, thrifty
 
 BLOCKS, BLOCK_BITS = 8, 8
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -286,7 +286,7 @@ def _shingle_rows(k: int):
 
 def item_totals(items: DataFrame, k: int) -> tuple[int, np.ndarray, np.ndarray]:
     """The number of items with words, and the shingles that several of them have, sorted, with their numbers of items."""
-    found = items.select("text").mapInArrow(_shingle_rows(k), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    found = items.select("text").mapInArrow(thrifty(_shingle_rows(k)), "shingle long").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     rows = found.where("n > 1 or shingle is null").toArrow()
     shingle, n = rows["shingle"].combine_chunks(), rows["n"].to_numpy()
     every = shingle.is_null().to_numpy(zero_copy_only=False)
@@ -318,6 +318,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = 5, radius: int
     for p in range(parts):
         own = items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect() if parts > 1 else items.collect()
         sent = spark.sparkContext.broadcast(ItemIndex(sorted((r.item_id, r.text) for r in own), k, radius, totals, least))
-        found = slim.mapInArrow(lambda it, sent=sent: _match_rows(lambda: sent.value, least)(it), schema)
+        found = slim.mapInArrow(thrifty(lambda it, sent=sent: _match_rows(lambda: sent.value, least)(it)), schema)
         out = found if out is None else out.unionByName(found)
     return out

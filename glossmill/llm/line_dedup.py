@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER_TABLE, SPACE_BYTES, bucketed, drop_scratch, materialize, registered, scratch_scope
+from ._common import LOWER_TABLE, SPACE_BYTES, bucketed, drop_scratch, materialize, registered, scratch_scope, thrifty
 
 KEYS = ["hi", "lo"]
 
@@ -208,7 +208,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
     id_type = docs.schema["doc_id"].dataType.simpleString()
     text = F.col("text").cast("string").alias("text")
     with scratch_scope(spark) as scratch:
-        lines = docs.select("doc_id", text).mapInArrow(_line_rows(min_chars), f"doc_id {id_type}, hi long, lo long")
+        lines = docs.select("doc_id", text).mapInArrow(thrifty(_line_rows(min_chars)), f"doc_id {id_type}, hi long, lo long")
         lines = lines.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int"))
         lines = materialize(lines, "lines", "batch")
         runs = index or LineRuns(spark, buckets)
@@ -241,6 +241,6 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, batches
         slim = slim.select("doc_id", "text", F.lit(None).cast("array<struct<hi:bigint,lo:bigint>>").alias("drops"), "rest")
     else:
         slim = slim.join(drops, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", "text", "drops", "rest")
-    out = slim.mapInArrow(lambda it: _kept_rows(min_chars, sent.value)(it), schema)
+    out = slim.mapInArrow(thrifty(lambda it: _kept_rows(min_chars, sent.value)(it)), schema)
     kept = [F.col("rest").getField(f"c{i}").alias(c) for i, c in enumerate(others)]
     return out.select("doc_id", *kept, *added)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bucketed, distinct, hash_words, mix, row_slices, text_buffer
+from ._common import bucketed, distinct, hash_words, mix, row_slices, text_buffer, thrifty
 
 
 #: Shorter arrays are not worth deflating.
@@ -240,14 +240,14 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = 0.4, block_b
     id_type = slim.schema["doc_id"].dataType.simpleString()
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    laid_out = slim.mapInArrow(_block_rows(block_bytes), f"block long, vocabulary binary, places binary, n_words binary, doc_ids array<{id_type}>, n long")
+    laid_out = slim.mapInArrow(thrifty(_block_rows(block_bytes)), f"block long, vocabulary binary, places binary, n_words binary, doc_ids array<{id_type}>, n long")
     # bucketed by block: the totals come to the blocks, which are never shuffled
     blocks = bucketed(laid_out, "lm_blocks", buckets, ["block"])
     n_corpus = blocks.agg(F.sum("n").alias("n")).first().n or 0
     parts = max(1, -(-n_corpus // rows_a_part))
-    sent = blocks.select("block", "vocabulary", "places", "n_words").mapInArrow(_sent_rows(order, parts), "block long, n int, part int, grams binary, counts binary")
+    sent = blocks.select("block", "vocabulary", "places", "n_words").mapInArrow(thrifty(_sent_rows(order, parts)), "block long, n int, part int, grams binary, counts binary")
     tasks = min(parts, max(buckets, parts // 8))
-    totals = sent.repartition(tasks, "part").sortWithinPartitions("part", "n", "block").mapInArrow(_total_rows, "block long, n int, part int, totals binary")
+    totals = sent.repartition(tasks, "part").sortWithinPartitions("part", "n", "block").mapInArrow(thrifty(_total_rows), "block long, n int, part int, totals binary")
     back = totals.groupBy("block").agg(F.collect_list(F.struct("n", "part", "totals")).alias("back"))
     joined = blocks.join(back.hint("merge"), "block", "left").select("vocabulary", "places", "n_words", "doc_ids", "back")
-    return joined.mapInArrow(_score_rows(order, alpha, n_corpus), f"doc_id {id_type}, n_words long, log_score double, mean_log_score double")
+    return joined.mapInArrow(thrifty(_score_rows(order, alpha, n_corpus)), f"doc_id {id_type}, n_words long, log_score double, mean_log_score double")

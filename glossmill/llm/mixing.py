@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import hash_words, materialize, row_slices, text_buffer
+from ._common import hash_words, materialize, row_slices, text_buffer, thrifty
 
 LEVELS = ("domain", "lang", "source")
 _KEY_BITS = 40
@@ -85,7 +85,7 @@ def mix(docs: DataFrame, total_share: float, weights: Mapping[tuple, float], mos
     Its table goes to all tasks up to ``broadcast_leaves`` leaves; larger ones are joined by a shuffle.
     """
     slim = docs.select(F.struct("doc_id", *LEVELS).alias("row"), F.col("text").cast("string").alias("text"))
-    sized = slim.mapInArrow(_word_counts, T.StructType([slim.schema["row"], T.StructField("n_tokens", T.LongType())]))
+    sized = slim.mapInArrow(thrifty(_word_counts), T.StructType([slim.schema["row"], T.StructField("n_tokens", T.LongType())]))
     rows = materialize(sized.select("row.*", "n_tokens"), "mix")
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("n_tokens"), F.count(F.lit(1)).alias("n")).limit(max_leaves + 1).collect()
     if len(leaves) > max_leaves:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import LOWER_TABLE, materialize
+from ._common import LOWER_TABLE, materialize, thrifty
 from .components import components
 
 BITS = 64
@@ -91,7 +91,7 @@ def fingerprints(docs: DataFrame, words: int, sketch: int = 0) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType())])
     if sketch:
         schema.add("least", T.ArrayType(T.LongType())).add("n_shingles", T.LongType())
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(_fingerprint_rows(words, sketch), schema)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(thrifty(_fingerprint_rows(words, sketch)), schema)
 
 
 def block_keys(fp: str, radius: int, shared: int = 2) -> F.Column:
@@ -220,7 +220,7 @@ def by_shard(shards: DataFrame) -> DataFrame:
 
 def tree_links(members: DataFrame, radius: int, most: int = 1000) -> DataFrame:
     """Links u, v between the nodes of ``members`` (key, node, fp) that share a key and are within ``radius``."""
-    return by_shard(deal_shards(members, most)).mapInArrow(_link_rows(radius), "u long, v long")
+    return by_shard(deal_shards(members, most)).mapInArrow(thrifty(_link_rows(radius)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 3, shared: int = 2, most: int = 1000) -> DataFrame:
@@ -397,15 +397,15 @@ def _verified_rows(radius: int, least: float, few: int):
 
 
 def open_links(nodes: DataFrame, texts: DataFrame, words: int, radius: int, least: float, keys: int, most: int, few: int) -> DataFrame:
-    """Links between components of ``nodes`` (node, fp, least, n_shingles, component) from every pair of one shard that is
-    within ``radius`` (or has at most ``few`` shingles on one side) and similar.  The shingles of a text (``texts``: id, text) move only to shards where it has such a pair left to verify."""
+    """Links between components of ``nodes`` (node, own, fp, least, n_shingles, component) from every pair of one shard that is
+    within ``radius`` (or has at most ``few`` shingles on one side) and similar.  The shingles of a text (``texts``: id, own, text) move only to shards where it has such a pair left to verify."""
     shards = deal_shards(sketch_members(nodes, keys, "fp", "n_shingles", "component"), most, "n_shingles")
-    opened = by_shard(shards).mapInArrow(_open_rows(radius, least, few), "shard long, node long")
+    opened = by_shard(shards).mapInArrow(thrifty(_open_rows(radius, least, few)), "shard long, node long")
     opened = materialize(opened, "open")
-    used = opened.select("node").distinct()
-    sets = texts.join(used, texts.id == used.node, "left_semi").dropDuplicates(["id"]).select("id", "text").mapInArrow(_set_rows(words), "node long, shingles binary")
+    used = opened.select("node").distinct().join(nodes.select("node", F.col("own").alias("of")), "node")
+    sets = texts.join(used, (texts.id == used.node) & (texts.own == used.of), "left_semi").dropDuplicates(["id", "own"]).select("id", "text").mapInArrow(thrifty(_set_rows(words)), "node long, shingles binary")
     full = opened.join(nodes.select("node", "fp", "component"), "node").join(sets, "node").select("shard", "fp", "component", "shingles")
-    return by_shard(full).mapInArrow(_verified_rows(radius, least, few), "u long, v long")
+    return by_shard(full).mapInArrow(thrifty(_verified_rows(radius, least, few)), "u long, v long")
 
 
 def similar_groups(docs: DataFrame, words: int = 5, radius: int = 16, least: float = 0.8, keys: int = 8, most: int = 1000, wide: int = 24, few: int = 16) -> DataFrame:
@@ -417,16 +417,22 @@ def similar_groups(docs: DataFrame, words: int = 5, radius: int = 16, least: flo
     within ``radius`` bits (the tightest links of a spanning forest) is verified first; then every pair whose components are still apart.  Nulls, empty texts, repeated rows and empty
     tables: as in :func:`near_duplicates`.
     """
-    prints = materialize(fingerprints(docs, words, sketch=max(keys, 16)).withColumn("same", F.xxhash64("fp", "n_shingles", F.array_join(F.col("least").cast("array<string>"), ","))), "sketches")
-    nodes = prints.where("doc_id is not null").groupBy("same").agg(F.min(F.col("doc_id").cast("long")).alias("node"), F.first("fp").alias("fp"), F.first("least").alias("least"), F.first("n_shingles").alias("n_shingles"))
-    nodes = materialize(nodes, "nodes")
+    # a node's text is the one it was made of, also where rows share a doc_id
+    text = F.col("text").cast("string")
+    named = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(text).alias("own")).alias("doc_id"), text.alias("text"))
+    prints = fingerprints(named, words, sketch=max(keys, 16)).select("doc_id.id", "doc_id.own", "fp", "least", "n_shingles").withColumnRenamed("id", "doc_id")
+    prints = materialize(prints.withColumn("same", F.xxhash64("fp", "n_shingles", F.array_join(F.col("least").cast("array<string>"), ","))), "sketches")
+    nodes = prints.where("doc_id is not null").groupBy("same").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("node"), "own")).alias("x"), F.first("fp").alias("fp"), F.first("least").alias("least"), F.first("n_shingles").alias("n_shingles"))
+    # one doc_id may have rows of several sketches: each is a node, and they are linked as one document
+    nodes = materialize(nodes.select("same", "x.node", "x.own", "fp", "least", "n_shingles"), "nodes")
     trees = tree_links(sketch_members(nodes, keys, "fp"), radius, most)
     links = materialize(trees.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
-    used = links.select(F.col("u").alias("id")).unionByName(links.select(F.col("v").alias("id"))).distinct()
-    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = materialize(known.join(used, "id", "left_semi").dropDuplicates(["id"]), "linked")
+    used = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct()
+    used = used.join(nodes.select("node", "own"), "node").select(F.col("node").alias("id"), "own")
+    known = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("own"), text.alias("text"))
+    texts = materialize(known.join(used, ["id", "own"], "left_semi").dropDuplicates(["id", "own"]), "linked")
     pairs = links.join(texts.select(F.col("id").alias("u"), F.col("text").alias("a")), "u").join(texts.select(F.col("id").alias("v"), F.col("text").alias("b")), "v")
-    good = pairs.select("u", "v", "a", "b").mapInArrow(_similar_rows(words, least), "u long, v long")
+    good = pairs.select("u", "v", "a", "b").mapInArrow(thrifty(_similar_rows(words, least)), "u long, v long")
     first = nodes.join(components(good), "node", "left").withColumn("component", F.coalesce("component", "node"))
     first = materialize(first, "first_groups")
     joined = components(open_links(first, known, words, max(radius, wide), least, keys, most, few)).select(F.col("node").alias("component"), F.col("component").alias("whole"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import mix, powers
+from ._common import mix, powers, thrifty
 
 # Classes of characters: letter, number, other, an apostrophe that opens a contraction of two
 # or three characters, white space within a run, a space or other white space before a word.
@@ -365,5 +365,5 @@ def count_tokens(docs: DataFrame, path: str, limit: int) -> DataFrame:
 
     text = F.col("text").cast("string")
     sized = docs.select(F.struct("doc_id", F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes")).alias("row"), text.alias("text"))
-    out = sized.mapInArrow(rows, T.StructType([sized.schema["row"], T.StructField("n_tokens", T.LongType())]))
+    out = sized.mapInArrow(thrifty(rows), T.StructType([sized.schema["row"], T.StructField("n_tokens", T.LongType())]))
     return out.select("row.doc_id", "row.n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import distinct, hash_sample, hash_words, materialize, mix, row_slices, scratch_scope, text_buffer
+from ._common import distinct, hash_sample, hash_words, materialize, mix, row_slices, scratch_scope, text_buffer, thrifty
 
 
 _PLAIN = np.arange(256, dtype=np.uint8)
@@ -208,7 +208,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, b
     share_taken = min(1.0, max_unlabelled / max(1, docs.count()))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("turn")), F.lit(1 << 40)) < int(share_taken * (1 << 40))
     picked = slim.join(F.broadcast(toxic), "doc_id", "left").select(F.struct("doc_id", F.coalesce("positive", F.lit(False)).alias("positive"), drawn.alias("drawn")).alias("row"), "text").where("row.positive or row.drawn")
-    found = picked.mapInArrow(_feature_rows(bits), T.StructType([picked.schema["row"], T.StructField("slots", T.ArrayType(T.IntegerType()))]))
+    found = picked.mapInArrow(thrifty(_feature_rows(bits)), T.StructType([picked.schema["row"], T.StructField("slots", T.ArrayType(T.IntegerType()))]))
     with scratch_scope(spark):
         sample = materialize(found.select("row.*", "slots"), "toxicity")  # the bounds above, in rows
         if sample.where("positive").take(1):
@@ -220,7 +220,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, b
     others = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
     row = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
     packed = docs.select(row.alias("row"), F.col("text").cast("string").alias("text"))
-    out = packed.mapInArrow(lambda it: _score_rows(lambda: sent.value)(it), T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())]))
+    out = packed.mapInArrow(thrifty(lambda it: _score_rows(lambda: sent.value)(it)), T.StructType([packed.schema["row"], T.StructField("score", T.DoubleType())]))
     back = [F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(others)]
     out = out.select(*back, "score")
     return out.select(*[f"`{c}`" for c in others], held("doc_id").alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

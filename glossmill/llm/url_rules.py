@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import hash_sample, materialize, scratch_scope
+from ._common import hash_sample, materialize, scratch_scope, thrifty
 
 ALLOW, BLOCK = "allow", "block"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -180,7 +180,7 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     out = parts.select(row, "tokens", F.lit(0.0).alias("confidence"))
     for a in range(0, len(mined), max_rules):
         sent = spark.sparkContext.broadcast(invert(mined[a : a + max_rules]))
-        out = out.mapInArrow(lambda it, sent=sent: _match(lambda: sent.value)(it), T.StructType([out.schema["row"], out.schema["tokens"], T.StructField("confidence", T.DoubleType())]))
+        out = out.mapInArrow(thrifty(lambda it, sent=sent: _match(lambda: sent.value)(it)), T.StructType([out.schema["row"], out.schema["tokens"], T.StructField("confidence", T.DoubleType())]))
     verdicts = F.create_map(*[F.lit(x) for verdict, rule in rules for x in (rule, verdict)])
     verdict = F.when(F.col("row.rule").isNotNull(), F.element_at(verdicts, F.col("row.rule"))).when(F.col("confidence") > 0, BLOCK).otherwise(ALLOW)
     return out.select("row.*", verdict.alias("verdict"), "confidence")

@@ -151,6 +151,15 @@ def test_similar_groups_take_no_account_of_repeats(spark):
     assert got == brute_groups(rows) == {i: i - i % 2 for i in range(20)}
 
 
+def test_similar_groups_of_rows_that_share_a_doc_id(spark):
+    # the rows of one doc_id are one document, which is near whatever any of them is near
+    a, b, c = (prose(8000 + i, 90) for i in range(3))
+    near = lambda t: " ".join(["changed", *t.split()[1:]])
+    rows = [(5, a), (5, b), (5, b), (7, near(a)), (9, near(b)), (11, c), (None, a), (12, None), (13, ""), (14, near(c))]
+    got = [(x.doc_id, x.component_id) for x in simhash_dedup.similar_groups(table(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(5, 5)] * 3 + [(7, 5), (9, 5), (11, 11), (14, 11), (12, 12), (13, 12), (None, None)], key=str)
+
+
 def test_similar_groups_hold_short_texts(spark):
     # 5 shingles against 4: a similarity of exactly 0.8, often over 16 bits apart
     rows = [(2 * c + k, " ".join(prose(3000 + c, 9).split()[: 9 - k])) for c in range(80) for k in (0, 1)]
