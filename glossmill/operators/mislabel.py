@@ -2,44 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.align import token_distance
-from ..functions.text import tokens
+from ..functions.text import let, tokens
 
 
-def _mer(ref: str, hyp: str):
-    n = F.size(ref)
-    d = token_distance(F.col(ref), F.col(hyp))
-    return F.when(n > 0, d / n).when(F.size(hyp) > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
+def _mer(ref: Column, hyp: Column) -> Column:
+    """The error rate of two token arrays, of which neither is empty."""
+    return token_distance(ref, hyp) / F.size(ref)
 
 
 def misalignments(rows: DataFrame, window: int = 5, min_own_mer: float = 0.5, ratio: float = 0.5, max_best_mer: float = 0.5, part: list[str] | None = None) -> DataFrame:
     """index, id, ref, hyp, own_mer, best_id, best_index, best_mer, improvement, n_ref.
 
     ``rows``: index (consecutive places, within ``part`` if given), id, ref, hyp.  Rows with an own error rate of
-    at least ``min_own_mer`` are compared with the references of up to ``window`` places away, as an
-    equi-join on the places that each row looks at: no sort of the whole table, and only bad rows are
-    spread.  The best neighbour (the first on a tie) must beat the own rate, reach ``max_best_mer`` and ``ratio`` of the own rate.
+    at least ``min_own_mer`` are compared with the references of up to ``window`` places away.  Places are cut into
+    blocks with the neighbours' places at both ends, a 32nd of the rows twice: a frame within a block holds what a row looks at, so that
+    a row is dealt once and not once for each place that looks at it, and no sort is of the whole table.
+    The best neighbour (the first on a tie) must beat the own rate, reach ``max_best_mer`` and ``ratio`` of the own rate.
     """
     part = part or []
-    t = rows.select(*part, "index", "id", "ref", "hyp", tokens(F.col("ref")).alias("r"), tokens(F.col("hyp")).alias("h"))
-    own = t.where((F.size("r") > 0) & (F.size("h") > 0)).withColumn("own_mer", _mer("r", "h")).where(F.col("own_mer") >= min_own_mer)
-    away = F.filter(F.sequence(F.col("index") - window, F.col("index") + window), lambda x: x != F.col("index"))
-    # the tokens alone are spread; what else belongs to a row stays with the own place, which is among those looked at
-    spread = own.select(*part, "index", "h", "own_mer", F.explode(away).alias("best_index"))
-    other = t.where(F.size("r") > 0).select(*part, F.col("index").alias("best_index"), F.col("id").alias("best_id"), F.col("r").alias("other"))
-    near = spread.join(other, [*part, "best_index"])
-    # tokens that the other side lacks cost an edit each; what cannot reach ``max_best_mer`` needs no alignment, as it is no match even if it is the best
-    apart = F.greatest(F.abs(F.size("other") - F.size("h")), F.size(F.array_except("other", "h")), F.size(F.array_except("h", "other")))
-    near = near.where(apart <= max_best_mer * F.size("other")).withColumn("best_mer", _mer("other", "h"))
-    key = [*part, "index"]
-    best = near.groupBy(*key).agg(F.min(F.struct("best_mer", "best_index", "best_id", "own_mer")).alias("b")).select(*key, "b.*")
-    fits = (F.col("best_mer") < F.col("own_mer")) & (F.col("best_mer") <= max_best_mer) & (F.col("best_mer") <= F.col("own_mer") * ratio)
-    texts = t.select(*key, "id", "ref", "hyp", F.size("r").alias("n_ref"))
-    out = best.where(fits).join(texts, key).withColumn("improvement", F.col("own_mer") - F.col("best_mer"))
-    return out.select(*key, "best_mer", "best_index", "best_id", "own_mer", "id", "ref", "hyp", "n_ref", "improvement")
+    width = max(1, 64 * window)
+    block = lambda x: F.floor(x / F.lit(width))
+    place = F.col("index")
+    t = rows.select(*part, "index", "id", "ref", "hyp", F.explode(F.sequence(block(place - window), block(place + window))).alias("_block"))
+    # dealt by blocks: rows that lie together already, by ``part``, may all be in one task
+    t = t.repartition(*part, "_block").withColumns({"r": tokens(F.col("ref")), "h": tokens(F.col("hyp"))})
+    frame = Window.partitionBy(*part, "_block").orderBy("index").rangeBetween(-window, window)
+    around = F.collect_list(F.when(F.size("r") > 0, F.struct(place.alias("best_index"), F.col("id").alias("best_id"), F.col("r").alias("other")))).over(frame)
+    t = t.withColumn("_around", around).where(F.col("_block") == block(place))
+
+    def fits(own: Column) -> Column:
+        # tokens that the other side lacks cost an edit each; what cannot reach ``max_best_mer`` needs no alignment, as it is no match even if it is the best
+        apart = lambda x: F.greatest(F.abs(F.size(x) - F.size("h")), F.size(F.array_except(x, "h")), F.size(F.array_except("h", x)))
+        near = F.filter("_around", lambda x: (x["best_index"] != place) & (apart(x["other"]) <= max_best_mer * F.size(x["other"])))
+        rated = F.transform(near, lambda x: F.struct(_mer(x["other"], F.col("h")).alias("best_mer"), x["best_index"].alias("best_index"), x["best_id"].alias("best_id"), own.alias("own_mer")))
+        best = F.when(own >= min_own_mer, F.array_min(rated))
+        good = lambda x: (x["best_mer"] < own) & (x["best_mer"] <= max_best_mer) & (x["best_mer"] <= own * ratio)
+        return F.filter(F.array(best), good)
+
+    # exploded, since a filter on a plain column would be computed along with it, distances and all
+    found = F.when((F.size("r") > 0) & (F.size("h") > 0), let(_mer(F.col("r"), F.col("h")), fits))
+    out = t.select(*part, "index", "id", "ref", "hyp", F.size("r").alias("n_ref"), F.inline(found)).withColumn("improvement", F.col("own_mer") - F.col("best_mer"))
+    return out.select(*part, "index", "best_mer", "best_index", "best_id", "own_mer", "id", "ref", "hyp", "n_ref", "improvement")
 
 
 def _pair(part: list[str]) -> WindowSpec:

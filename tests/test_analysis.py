@@ -39,6 +39,52 @@ def test_swapped_neighbours(spark):
     assert mislabel.mer_impact(rows, found.where("false")).first().mer_impact == 0.0
 
 
+def shuffled_rows(df):
+    """Rows that the exchanges of a collected frame wrote, each exchange once."""
+    todo, seen = [df._jdf.queryExecution().executedPlan()], {}
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            if kind == "ShuffleExchangeExec":
+                seen[node.id()] = node.metrics().apply("shuffleRecordsWritten").value()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    assert seen
+    return sum(seen.values())
+
+
+def edits_between(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, up = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(up[j - 1] + (x != y), up[j] + 1, row[-1] + 1))
+    return row[-1]
+
+
+@pytest.mark.parametrize("part", [None, ["talk"]])
+def test_mislabelled_rows_by_brute_force_deal_each_row_once(spark, part):
+    rng = random.Random(5)
+    refs = [" ".join(rng.choices("abcdefgh", k=rng.randint(0, 6))) for _ in range(1500)]
+    refs[20:30] = ["a b c d"] * 10  # ties
+    said = [refs[min(max(i + rng.randint(-7, 7), 0), 1499)] for i in range(1500)]
+    rows = [(7 if i < 900 else 8, i, f"u{i}", r, h) for i, (r, h) in enumerate(zip(refs, said))]
+    found = mislabel.misalignments(spark.createDataFrame(rows, "talk int, index long, id string, ref string, hyp string"), part=part).select("index", "best_index", "best_id", "own_mer", "best_mer")
+    want = []
+    for talk, i, _, r, h in rows:
+        r, h = r.split(), h.split()
+        own = edits_between(r, h) / len(r) if r and h else 0
+        near = [(edits_between(o.split(), h) / len(o.split()), j) for t, j, _, o, _ in rows[max(0, i - 5) : i + 6] if j != i and o and (not part or t == talk)]
+        if own >= 0.5 and near and (best := min(near))[0] < own and best[0] <= 0.5 and best[0] <= own * 0.5:
+            want.append((i, best[1], f"u{best[1]}", own, best[0]))
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 300
+    assert shuffled_rows(found) < 1.1 * len(rows)
+
+
 def folders_of(spark, *signatures):
     rows = [(i, t) for i, s in enumerate(signatures, 1) for t in s]
     return splits.folder_table(spark.createDataFrame(rows, "folder int, topic string"))
