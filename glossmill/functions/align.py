@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
+
+from .batches import arrow_function
 
 EQUAL, SUB, DELETE, INSERT = "ESDI"
 
@@ -58,9 +58,9 @@ def op_string(ref: Sequence[str], hyp: Sequence[str]) -> str:
     return "".join(reversed(out)) + EQUAL * tail
 
 
-def _align_ops(ref: pd.Series, hyp: pd.Series) -> pd.Series:
-    """Alignments of two array<string> columns."""
-    return pd.Series([op_string([] if r is None else list(r), [] if h is None else list(h)) for r, h in zip(ref, hyp)])
+def _align_ops(ref: list, hyp: list) -> list[str]:
+    """Alignments of two columns of tokens."""
+    return [op_string(r or [], h or []) for r, h in zip(ref, hyp)]
 
 
 _LANGS = ("zh", "en", "num", "other")
@@ -82,7 +82,7 @@ def points_of_interest(langs: Sequence[str], window: int) -> set[int]:
     return out
 
 
-def _score_ops(ref: pd.Series, ref_langs: pd.Series, hyp: pd.Series, hyp_langs: pd.Series, window: pd.Series) -> pd.DataFrame:
+def _score_ops(ref: list, ref_langs: list, hyp: list, hyp_langs: list, window: list) -> list[dict]:
     """The alignment and the counters that follow from it.
 
     Substitutions and deletions belong to the reference token's language, insertions to the hypothesis
@@ -90,7 +90,7 @@ def _score_ops(ref: pd.Series, ref_langs: pd.Series, hyp: pd.Series, hyp_langs:
     """
     rows = []
     for r, rl, h, hl, w in zip(ref, ref_langs, hyp, hyp_langs, window):
-        ops, points = op_string(list(r), list(h)), points_of_interest(rl, w)
+        ops, points = op_string(r, h), points_of_interest(rl, w)
         row = dict.fromkeys([f"{k}_{x}" for k in ("sub", "del", "ins") for x in _LANGS] + ["poi_err", "en_sub_by_zh", "en_lost"], 0)
         i = j = 0
         for op in ops:
@@ -108,7 +108,7 @@ def _score_ops(ref: pd.Series, ref_langs: pd.Series, hyp: pd.Series, hyp_langs:
                     row["en_sub_by_zh"] += op == SUB and hl[j] == "zh"
                 i, j = i + 1, j + (op == SUB)
         rows.append({"ops": ops, "hits": ops.count(EQUAL), "subs": ops.count(SUB), "dels": ops.count(DELETE), "ins": ops.count(INSERT), **row})
-    return pd.DataFrame(rows, columns=["ops", *_COUNTERS])
+    return rows
 
 
 def _joined(toks: list[str], langs: list[str]) -> str:
@@ -122,24 +122,26 @@ def _span_lang(langs: list[str]) -> str | None:
 _SPAN = T.StructType([T.StructField("span", T.IntegerType()), *[T.StructField(c, T.StringType()) for c in ("kind", "ref_lang", "hyp_lang", "ref", "hyp")], T.StructField("is_poi", T.BooleanType()), T.StructField("lost", T.ArrayType(T.StringType()))])
 
 
-def _edit_spans(ops: pd.Series, ref: pd.Series, ref_langs: pd.Series, hyp: pd.Series, hyp_langs: pd.Series, window: pd.Series) -> pd.Series:
+def _edit_spans(ref: list, ref_langs: list, hyp: list, hyp_langs: list, window: list, ops: list | None = None) -> list[list[dict]]:
     """Maximal runs of edits: what was said and what came out, and whether a point of interest is touched.
 
-    A run that begins with an insertion counts as touching the place of the insertion.
+    A run that begins with an insertion counts as touching the place of the insertion.  Without ``ops`` the tokens are
+    aligned here: in a function of its own the alignment would take a second Python worker for each task.
     """
     out = []
-    for o, r, rl, h, hl, w in zip(ops, ref, ref_langs, hyp, hyp_langs, window):
+    for r, rl, h, hl, w, o in zip(ref, ref_langs, hyp, hyp_langs, window, ops or [None] * len(ref)):
         points, spans = points_of_interest(rl, w), []
+        o = op_string(r, h) if o is None else o
         i = j = 0
         run = None
         for op in o + EQUAL:
             if op == EQUAL:
                 if run:
                     (a, b), (c, d), places = run[0], run[1], run[2]
-                    said, came = list(r[a:b]), list(h[c:d])
+                    said, came = r[a:b], h[c:d]
                     kind = "sub" if said and came else "del" if said else "ins"
                     lost = [t for t, x in zip(said, rl[a:b]) if x == "en"]
-                    spans.append({"span": len(spans), "kind": kind, "ref_lang": _span_lang(list(rl[a:b])), "hyp_lang": _span_lang(list(hl[c:d])), "ref": _joined(said, list(rl[a:b])), "hyp": _joined(came, list(hl[c:d])), "is_poi": bool(points & places), "lost": lost})
+                    spans.append({"span": len(spans), "kind": kind, "ref_lang": _span_lang(rl[a:b]), "hyp_lang": _span_lang(hl[c:d]), "ref": _joined(said, rl[a:b]), "hyp": _joined(came, hl[c:d]), "is_poi": bool(points & places), "lost": lost})
                 run = None
                 i, j = i + 1, j + 1
                 continue
@@ -152,7 +154,7 @@ def _edit_spans(ops: pd.Series, ref: pd.Series, ref_langs: pd.Series, hyp: pd.Se
                 j += 1
             run[0], run[1] = (run[0][0], i), (run[1][0], j)
         out.append(spans)
-    return pd.Series(out)
+    return out
 
 
 def edit_distance(ops: Column) -> Column:
@@ -176,6 +178,6 @@ def token_distance(ref: Column, hyp: Column) -> Column:
 
 
 # The optimizer must neither copy these into several expressions nor move them into a sort's projection.
-align_ops = pandas_udf(_align_ops, T.StringType()).asNondeterministic()
-score_ops = pandas_udf(_score_ops, T.StructType([T.StructField("ops", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in _COUNTERS]])).asNondeterministic()
-edit_spans = pandas_udf(_edit_spans, T.ArrayType(_SPAN)).asNondeterministic()
+align_ops = arrow_function(_align_ops, T.StringType()).asNondeterministic()
+score_ops = arrow_function(_score_ops, T.StructType([T.StructField("ops", T.StringType()), *[T.StructField(c, T.IntegerType()) for c in _COUNTERS]])).asNondeterministic()
+edit_spans = arrow_function(_edit_spans, T.ArrayType(_SPAN)).asNondeterministic()

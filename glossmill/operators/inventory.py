@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.align import align_ops, edit_spans
+from ..functions.align import edit_spans
 from .scoring import tokenize_pairs
 
 
@@ -15,9 +15,7 @@ def edits(pairs: DataFrame, poi_window: int = 1, pos: str = "_pos") -> DataFrame
     An ``ops`` column is used where ``pairs`` has one; else the texts are aligned.
     """
     t = tokenize_pairs(pairs, poi_window)
-    if "ops" not in pairs.columns:
-        t = t.withColumn("ops", align_ops("ref_tokens", "hyp_tokens"))
-    spans = edit_spans("ops", "ref_tokens", "ref_langs", "hyp_tokens", "hyp_langs", F.lit(poi_window))
+    spans = edit_spans("ref_tokens", "ref_langs", "hyp_tokens", "hyp_langs", F.lit(poi_window), *[c for c in ("ops",) if c in pairs.columns])
     return t.select(F.col(pos).alias("pos"), F.explode(spans).alias("s")).select("pos", "s.*")
 
 

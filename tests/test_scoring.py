@@ -2,10 +2,13 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
+from pyspark.util import PythonEvalType
 
+from glossmill.functions import align
 from glossmill.functions import text as X
 from glossmill.functions.align import edit_distance, op_string, token_distance
-from glossmill.operators import scoring
+from glossmill.operators import inventory, scoring
 
 
 def naive(ref, hyp):
@@ -132,3 +135,36 @@ def test_token_distance_of_many_tokens(spark):
     df = spark.range(1).select(F.transform(F.sequence(F.lit(0), F.lit(69_999)), lambda i: F.concat(F.lit("t"), i.cast("string"))).alias("a"))
     got = df.select(token_distance(F.slice("a", 1, 60), F.slice("a", 31, 60)).alias("d"), token_distance(F.slice("a", 55_200, 300), F.concat(F.slice("a", 1, 55_199), F.slice("a", 55_201, 299))).alias("e")).first()
     assert got.d == 60 and got.e == 55_199
+
+
+def test_a_few_rows_of_a_batch_are_python_values_at_a_time(spark):
+    import pyarrow as pa
+
+    from glossmill.functions import batches
+
+    assert list(batches.slices([1] * 7, 3, 100)) == [(0, 3), (3, 3), (6, 1)]
+    assert list(batches.slices([5, 50, 5, 5, 90], 9, 10)) == [(0, 1), (1, 1), (2, 2), (4, 1)] and list(batches.slices([], 9, 10)) == []
+    column = pa.array([["a", "b"], [], None, ["ü"], ["c"]])
+    assert batches.values(column.slice(3)) == [["ü"], ["c"]] and batches.values(column) == column.to_pylist() and batches.values(pa.array(["x", None])) == ["x", None]
+
+
+def test_kernels_get_bounded_slices_of_arrow_batches(spark):
+    import pyarrow as pa
+
+    from glossmill.functions import batches
+
+    rows = spark.range(2400, numPartitions=1).select(F.col("id").alias("_pos"), F.lit("我哋開meeting").alias("ref"), F.lit("我哋開會").alias("hyp"))
+
+    def plain(frame):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        # one Python node with Arrow's own arrays: a second one is a second worker, and pandas holds the whole batch as objects
+        assert plan.count("+- ArrowEvalPython") == 1 and all(f.evalType == PythonEvalType.SQL_SCALAR_ARROW_UDF for f in (align.align_ops, align.score_ops, align.edit_spans))
+        return frame.collect()
+
+    spans = plain(inventory.edits(rows))
+    assert len(spans) == 2400 and {r.pos for r in spans} == set(range(2400)) and {(r.kind, r.ref, r.hyp) for r in spans} == {("sub", "meeting", "會")}
+    with_ops = rows.withColumn("ops", F.lit("EEES"))
+    assert plain(inventory.edits(with_ops)) == spans
+    sizes = []
+    run = batches.arrow_function(lambda texts: sizes.append(len(texts)) or texts, StringType(), rows=10, weight=100).func
+    assert run(pa.array(["x" * 60] * 5 + ["x"] * 95)).to_pylist() == ["x" * 60] * 5 + ["x"] * 95 and max(sizes) == 10 and sizes[:4] == [1, 1, 1, 1]
