@@ -208,3 +208,18 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["analyze", "--utts", put(tmp_path / "test.jsonl", '{"id": "1", "ref": "a", "hyp": "b"}\n')]) == 1
     with pytest.raises(SystemExit):
         cli.main(["analyze", "--utts", m])
+
+
+def test_the_normaliser_holds_a_few_texts_at_a_time(spark, monkeypatch):
+    from pyspark.util import PythonEvalType
+
+    from glossmill.functions import batches
+
+    made, own = [], batches.arrow_function
+    monkeypatch.setattr(N, "arrow_function", lambda kernel, kind: made.append(own(kernel, kind)) or made[-1])
+    config = N.NormalizeConfig(script=None, strip_accents=True, normalize_numbers=True)
+    rows = spark.createDataFrame([(i, None if i == 5 else f"Café Ｔwenty one [x] {i}") for i in range(1201)], "id long, t string").coalesce(1)
+    done = rows.select("id", N.normalize(F.col("t"), config).alias("t"), N.strip_accents("t").alias("s")).collect()
+    assert {r.id: r.t for r in done} == {i: "" if i == 5 else f"cafe 21 {i}" for i in range(1201)}
+    assert done[0].s == "Cafe Twenty one [x] 0" and [r.id for r in done if r.s is None] == [5]
+    assert [f.evalType for f in (*made, N.strip_accents)] == [PythonEvalType.SQL_SCALAR_ARROW_UDF] * 2
