@@ -111,20 +111,19 @@ def deal(rng: np.random.Generator, sizes: np.ndarray, k: int) -> np.ndarray:
     return took
 
 
-def _permute_blocks(used: DataFrame, n: int, seed: int, rows_per_block: int = 100_000, tasks: int = 64) -> DataFrame:
-    """The permutation test over v and f for any number of values: nothing but one count a block reaches the driver.
+def _permute_blocks(counts: DataFrame, n: int, seed: int, rows_per_block: int = 100_000, tasks: int = 64) -> DataFrame:
+    """The permutation test over v, c (how many there are) and k (how many of them are flagged) for any number of values: nothing but one count a block reaches the driver.
 
-    Equal values are counted together and hashed into blocks.  A permutation deals its group to blocks
+    Values are hashed into blocks.  A permutation deals its group to blocks
     by their sizes and within a block to values by their counts, so that the group has its exact size.
     """
     schema = "observed double, p_value double"
-    counts = used.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.count_if("f").alias("k"))
     blocks = max(1, -(-counts.count() // rows_per_block))
     counts = counts.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
     sums = counts.groupBy("block").agg(F.sum("c").alias("c"), F.sum("k").alias("k"), F.sum(F.col("v") * F.col("k")).alias("a"), F.sum(F.col("v") * F.col("c")).alias("all")).orderBy("block").toPandas()
     size, k, inside, total = int(sums.c.sum()), int(sums.k.sum()), float(sums.a.sum()), float(sums["all"].sum())
     if k in (0, size):
-        return used.sparkSession.createDataFrame([(None, None)], schema)
+        return counts.sparkSession.createDataFrame([(None, None)], schema)
     observed = abs(inside / k - (total - inside) / (size - k))
     sizes, place = sums.c.to_numpy(np.int64), {b: i for i, b in enumerate(sums.block.tolist())}
     slices = max(1, min(n, tasks // blocks))
@@ -144,24 +143,28 @@ def _permute_blocks(used: DataFrame, n: int, seed: int, rows_per_block: int = 10
     drawn = dealt.groupBy("block", "part").applyInPandas(draw, "id long, some double").groupBy("id").agg(F.sum("some").alias("some"))
     gap = F.abs(F.col("some") / k - (F.lit(total) - F.col("some")) / (size - k))
     # sums in another order differ by rounding, and a tie counts
-    hits = drawn.agg(F.count_if(gap >= observed - 1e-12 * max(1.0, abs(total) / size)).alias("hits"))
-    return hits.select(F.lit(observed).alias("observed"), ((F.col("hits") + 1) / F.lit(n + 1)).alias("p_value"))
+    hits = drawn.agg(F.count_if(gap >= observed - 1e-12 * max(1.0, abs(total) / size)).alias("hits")).first().hits
+    return counts.sparkSession.createDataFrame([(observed, (hits + 1) / (n + 1))], schema)
 
 
 def permutation_test(rows: DataFrame, value: str = "cmi_ref", flag: str = "foreign_script", n: int = 10_000, seed: int = 0, most: int = 2_000_000) -> DataFrame:
     """observed (difference of means) and p_value (two-sided), one row; null without two groups.
 
-    The values go to all tasks while there are at most ``most`` of them (8 bytes each); more of them are
-    counted by value and permuted in blocks, see :func:`_permute_blocks`.  Each permutation
-    draws its own labels from its own seed, so the result does not depend on the partitioning.
+    Equal values are counted together, in the one pass over ``rows``.  All values go to all tasks while there are at
+    most ``most`` of them (8 bytes each); more of them are permuted in blocks by their counts, see :func:`_permute_blocks`.
+    Each permutation draws its own labels from its own seed, so the result does not depend on the partitioning.
     """
     used = rows.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), F.coalesce(flag, F.lit(False)).alias("f"))
     spark = rows.sparkSession
-    size = used.count()
-    if size > most:
-        return _permute_blocks(used, n, seed)
-    pool = used.toPandas()
-    a, b = np.sort(pool.v[pool.f].to_numpy()), np.sort(pool.v[~pool.f].to_numpy())
+    counts = used.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.count_if("f").alias("k")).persist()
+    try:
+        size = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("size")).first().size
+        if size > most:
+            return _permute_blocks(counts, n, seed)
+        pool = counts.toPandas().sort_values("v")
+    finally:
+        counts.unpersist()
+    a, b = np.repeat(pool.v.to_numpy(), pool.k), np.repeat(pool.v.to_numpy(), pool.c - pool.k)
     schema = "observed double, p_value double"
     if not len(a) or not len(b):
         return spark.createDataFrame([(None, None)], schema)

@@ -161,6 +161,18 @@ def test_permutation_over_the_bound(spark, monkeypatch):
     assert collapse.permutation_test(rows.where("not foreign_script"), n=10, most=10).first().p_value is None
 
 
+@pytest.mark.parametrize("most", [1000, 100])
+def test_permutation_passes_over_the_rows_once(spark, most):
+    rows = spark.createDataFrame([(i % 40 / 40, i % 7 == 0) for i in range(300)], "cmi_ref double, foreign_script boolean")
+    seen = spark.sparkContext.accumulator(0)
+    counted = F.udf(lambda x: seen.add(1) or x, "double").asNondeterministic()
+    p = collapse.permutation_test(rows.withColumn("cmi_ref", counted("cmi_ref")), n=200, most=most).first()
+    assert seen.value == 300
+    a, b = ([i % 40 / 40 for i in range(300) if (i % 7 == 0) == x] for x in (True, False))
+    assert p.observed == pytest.approx(abs(sum(a) / len(a) - sum(b) / len(b))) and 0.1 < p.p_value <= 1
+    assert collapse.permutation_test(rows.where("false"), n=10, most=most).first().p_value is None
+
+
 def test_registered_permutation_test_runs_all_permutations(monkeypatch):
     import inspect
 
