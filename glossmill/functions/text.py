@@ -52,9 +52,13 @@ def lang_counts(langs: Column) -> Column:
 
 
 def code_mixing_index(langs: Column) -> Column:
-    """(N - max(zh, en)) / N over zh and en tokens; 0 without any."""
+    """(N - max(zh, en)) / N over zh and en tokens; 0 without any.
+
+    Spark takes a quotient for nullable, even a guarded one, and a test for null that it moves below the tokens would cut
+    the text into tokens again for each of the six counts here; with a default there is nothing to test.
+    """
     zh, en = count_lang(langs, ZH), count_lang(langs, EN)
-    return F.when(zh + en > 0, F.least(zh, en) / (zh + en)).otherwise(F.lit(0.0))
+    return F.coalesce(F.when(zh + en > 0, F.least(zh, en) / (zh + en)).otherwise(F.lit(0.0)), F.lit(0.0))
 
 
 def switch_points(langs: Column) -> Column:

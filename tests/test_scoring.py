@@ -168,3 +168,10 @@ def test_kernels_get_bounded_slices_of_arrow_batches(spark):
     sizes = []
     run = batches.arrow_function(lambda texts: sizes.append(len(texts)) or texts, StringType(), rows=10, weight=100).func
     assert run(pa.array(["x" * 60] * 5 + ["x"] * 95)).to_pylist() == ["x" * 60] * 5 + ["x"] * 95 and max(sizes) == 10 and sizes[:4] == [1, 1, 1, 1]
+
+
+def test_a_filter_on_the_mixing_index_cuts_texts_into_tokens_once(spark):
+    rows = spark.createDataFrame([(0, "我哋開meeting", "我哋開會"), (1, "", "x"), (2, None, None)], "id long, ref string, hyp string")
+    used = scoring.score_utterances(rows).where(F.col("cmi_ref").isNotNull()).select("id", "cmi_ref")
+    assert used._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {r.id: r.cmi_ref for r in used.collect()} == {0: 0.25, 1: 0.0, 2: 0.0}
